@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from triage.llm import mixing, neardup, quality
+from triage.llm import bpe, mixing, neardup, quality, tokenfile
 
 
 def queries():
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op4_token_files": tokenfile.op4_token_files,
         "op5_quality": quality.op5_quality,
         "op8_near_duplicates": neardup.op8_near_duplicates,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
