@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triage.llm import bpe, mixing, neardup, quality, tokenfile
+from triage.llm import bpe, mixing, neardup, pii, quality, tokenfile, warc
 
 
 def queries():
@@ -10,8 +10,10 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op4_token_files": tokenfile.op4_token_files,
         "op5_quality": quality.op5_quality,
+        "op7_warc": warc.op7_warc,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_bpe": bpe.op9_bpe,
+        "op10_pii": pii.op10_pii,
     }
 
 

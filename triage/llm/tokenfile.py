@@ -88,7 +88,7 @@ def put(uri: str, chunks) -> None:
     system, path = _open(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     other = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(other) as f:
+    with system.open_output_stream(other, compression=None) as f:
         for x in chunks:
             f.write(x)
     system.move(other, path)
@@ -96,7 +96,7 @@ def put(uri: str, chunks) -> None:
 
 def get(uri: str) -> bytes:
     system, path = _open(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.readall()
 
 
