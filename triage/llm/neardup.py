@@ -8,9 +8,13 @@
    meets the bucket's smallest id; later rounds, with twice as many hubs each,
    only meet members whose components still differ, until every pair of a
    bucket was compared or is connected. No round lists a bucket's own pairs.
-4. The population count of two odd sketches' XOR estimates their similarity;
-   pairs far below the threshold go no further. The others are confirmed on
-   their full sets.
+4. Odd sketches verify candidates. The population count of the XOR of two
+   sketches of MinHash samples estimates the similarity; pairs far below the
+   threshold go no further. A second parity bitmap, of the whole set, loses
+   nothing: its XOR never has more bits than the sets differ in elements, and
+   a linked pair differs in few. Later rounds test both while they pair a
+   bucket's members, so a large bucket of copies below the threshold yields
+   hardly a row. What is left is confirmed on the full sets.
 5. Connected components of the confirmed links.
 
 With BANDS x ROWS samples a pair at 0.85 exactly is missed with probability
@@ -36,20 +40,22 @@ from triage.llm.common import drop, stored
 from triage.llm.components import components
 from triage.llm.shingles import chunks, mix64, shingle_sets
 
-WIDTH, BANDS, ROWS, ODD_WORDS = 5, 28, 7, 8
+WIDTH, BANDS, ROWS, ODD_WORDS, SET_WORDS = 5, 28, 7, 8, 16
 SAMPLES, BITS = BANDS * ROWS, 64 * ODD_WORDS
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
 MARGIN = 0.18
+#: Each later round has so many times as many hubs in a bucket.
+SPREAD = 8
 
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
-_SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+_SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
-def signatures(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sets with at least one shingle: set hashes (n, 2), band keys (n, BANDS), odd sketches (n, ODD_WORDS)."""
+def signatures(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets with at least one shingle: set hashes (n, 2), band keys (n, BANDS), odd sketches (n, ODD_WORDS), set parities (n, SET_WORDS)."""
     n = len(begin)
     with np.errstate(over="ignore"):
         sums = np.stack([np.add.reduceat(mix64(s ^ np.uint64(c)), begin) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
@@ -68,7 +74,10 @@ def signatures(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = np.arange(n)
     for i in range(SAMPLES):
         odd[rows, bit[i] >> np.uint64(6)] ^= np.uint64(1) << (bit[i] & np.uint64(63))
-    return sums, keys, odd
+    owner = np.repeat(rows, np.diff(np.concatenate((begin, [len(s)]))))
+    flips = np.bincount(owner * (64 * SET_WORDS) + (s & np.uint64(64 * SET_WORDS - 1)).astype(np.int64), minlength=n * 64 * SET_WORDS)
+    parity = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(n, SET_WORDS)
+    return sums, keys, odd, parity
 
 
 def _sign(batches):
@@ -78,9 +87,9 @@ def _sign(batches):
             s, at = shingle_sets(texts[i:j], WIDTH)
             n = np.diff(at)
             full = np.flatnonzero(n)
-            f, keys, odd = np.zeros((j - i, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, ODD_WORDS), np.uint64)
+            f, keys, odd, parity = np.zeros((j - i, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, ODD_WORDS), np.uint64), np.zeros((0, SET_WORDS), np.uint64)
             if len(full):
-                f[full], keys, odd = signatures(s, at[full])
+                f[full], keys, odd, parity = signatures(s, at[full])
             held = (n > 0).cumsum() * (n > 0)
 
             def lists(m, w, held=held):
@@ -88,21 +97,35 @@ def _sign(batches):
                 return pa.ListArray.from_arrays(pa.array(off), pa.array(m.reshape(-1).view(np.int64)))
 
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), lists(keys, BANDS), lists(odd, ODD_WORDS)], schema=_SIGN
+                [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), lists(keys, BANDS), lists(odd, ODD_WORDS), lists(parity, SET_WORDS)], schema=_SIGN
             )
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd array<long>, parity array<long>")
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two bitmaps differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def odd_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity estimated from the XOR of two odd sketches; -1 if they differ too much to tell."""
-    z = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    z = differing(a, b)
     left = 1 - 2 * z / F.lit(float(BITS))
     return F.when(left <= 0, -1.0).otherwise(1 + F.lit(BITS / (4.0 * SAMPLES)) * F.ln(left))
 
 
+def likely(percent: int, a: str = "_a", b: str = "_b") -> Column:
+    """Whether a pair of sketch rows (n_shingles, odd and parity with a suffix each) may be a link."""
+    n_a, n_b = F.col(f"n_shingles{a}"), F.col(f"n_shingles{b}")
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    # intersection = (n_a + n_b - d) / 2 and union = (n_a + n_b + d) / 2, d the elements of one set alone
+    few = (100 + percent) * differing(F.col(f"parity{a}"), F.col(f"parity{b}")) <= (100 - percent) * (n_a + n_b)
+    return sizes & few & (odd_similarity(F.col(f"odd{a}"), F.col(f"odd{b}")) >= percent / 100 - MARGIN)
+
+
 def _sets(batches):
     for batch in batches:
         ids, texts = batch.column(0), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -131,15 +154,15 @@ def _confirm(percent: int):
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), stored, that the sketches let through and the full sets confirm."""
-    s = sketches.select("doc_id", "odd")
+    s = sketches.select("doc_id", "n_shingles", "odd", "parity")
     for k in ("a", "b"):
-        pairs = pairs.join(s.withColumnsRenamed({"doc_id": f"{k}_id", "odd": f"odd_{k}"}), F.col(k) == F.col(f"{k}_id")).drop(f"{k}_id")
-    likely = stored(pairs.filter(odd_similarity(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - MARGIN).select("a", "b").distinct(), "likely")
-    out = likely
+        pairs = pairs.join(s.withColumnsRenamed({c: f"{c}_{k}" for c in s.columns}), F.col(k) == F.col(f"doc_id_{k}"))
+    good = stored(pairs.filter(likely(percent)).select("a", "b").distinct(), "likely")
+    out = good
     for k in ("a", "b"):
         out = out.join(sets.withColumnsRenamed({"doc_id": f"{k}_id", "shingles": f"set_{k}"}), F.col(k) == F.col(f"{k}_id")).drop(f"{k}_id")
     out = stored(out.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
-    drop(pairs.sparkSession, likely)
+    drop(pairs.sparkSession, good)
     return out
 
 
@@ -154,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = stored(sign(docs), "signed")
     reps = stored(classes(signed), "classes")
     sketches = stored(
-        signed.join(reps.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands", "odd"),
+        signed.join(reps.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n_shingles", "bands", "odd", "parity"),
         "sketches",
     )
     keyed = sketches.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
@@ -170,19 +193,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_rows = _unresolved(members, groups)
     if open_rows is not None:
         # Ranks stay as they are while buckets close, so every pair is met once: by the hub of lower rank.
-        ranked = stored(open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))), "ranked")
+        ranked = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep")))
+        ranked = stored(ranked.join(sketches.select("doc_id", "n_shingles", "odd", "parity"), F.col("rep") == F.col("doc_id")).drop("doc_id"), "ranked")
         deepest, first = ranked.agg(F.max("rank")).collect()[0][0], 2
         while first < deepest:
-            now = _with_components(ranked.select("key", "rep", "rank"), groups)
-            hub = now.filter(F.col("rank").between(first, 2 * first - 1)).select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-            new = now.filter(F.col("rank") > first).join(hub, (F.col("key") == F.col("k")) & (F.col("rank") > F.col("r")) & (F.col("comp") != F.col("c"))).select("a", F.col("rep").alias("b")).distinct()
-            new = stored(new.join(tested, ["a", "b"], "left_anti"), "pairs")
+            now = _with_components(ranked, groups)
+            hub = now.filter(F.col("rank").between(first, SPREAD * first - 1))
+            hub = hub.withColumnsRenamed({c: f"{c}_a" for c in hub.columns})
+            rest = now.filter(F.col("rank") > first)
+            rest = rest.withColumnsRenamed({c: f"{c}_b" for c in rest.columns})
+            met = (F.col("key_a") == F.col("key_b")) & (F.col("rank_b") > F.col("rank_a")) & (F.col("comp_a") != F.col("comp_b")) & likely(percent)
+            new = stored(rest.join(hub, met).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             more = confirmed(new, sketches, sets, percent)
             tested = tested.unionByName(new)
             if more.limit(1).count():
                 links = links.unionByName(more)
                 groups = stored(components(links), "components")
-            first *= 2
+            first *= SPREAD
     drop(spark, sets)
     whole = stored(reps.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("g3"), F.coalesce("component", "rep").alias("comp")), "classes-done")
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(
