@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from triage.llm import bpe, mixing, neardup, pii, quality, tokenfile, warc
+from triage.llm import bpe, linededup, mixing, neardup, pii, quality, tokenfile, warc
 
 
 def queries():
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_line_dedup": linededup.op3_line_dedup,
         "op4_token_files": tokenfile.op4_token_files,
         "op5_quality": quality.op5_quality,
         "op7_warc": warc.op7_warc,
