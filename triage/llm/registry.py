@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triage.llm import bpe, linededup, mixing, neardup, pii, quality, tokenfile, warc
+from triage.llm import ann, bpe, linededup, mixing, neardup, pii, quality, tokenfile, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_token_files": tokenfile.op4_token_files,
         "op5_quality": quality.op5_quality,
+        "op6_neighbours": ann.op6_neighbours,
         "op7_warc": warc.op7_warc,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_bpe": bpe.op9_bpe,
