@@ -137,7 +137,7 @@ def _prefix(buckets: DataFrame, bits: int) -> DataFrame:
 def training_order(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The mixed corpus: each taken document once a time it is taken, range-sorted by position."""
     taken = mix(docs, text_size(), carry=tuple(columns)).withColumn("__position", F.explode("positions"))
-    return taken.orderBy("__position", "doc_id").select(*columns)
+    return taken.orderBy("__position", "doc_id", "text").select(*columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from triage.llm import ann, bpe, linededup, mixing, neardup, pii, quality, tokenfile, warc
+from triage.llm import ann, bpe, licenses, linededup, mixing, neardup, pii, quality, tokenfile, warc
 
 
 def queries():
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_mixing": mixing.op2_mixing,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_token_files": tokenfile.op4_token_files,
