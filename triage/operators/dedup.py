@@ -75,13 +75,18 @@ def greedy(items: DataFrame, item: str, hash_: str, budget: int = config.DHASH_B
         state = new
         if not left:
             break
-    near = edges.join(state.filter("original").select(F.col("h").alias("g")), "g").groupBy("h").agg(F.min_by("gf", F.struct("distance", "gf")).alias("near"))
-    near = near.join(state.filter("not original").select("h"), "h", "left_semi")
-    decided = classes.join(near, "h", "left").select(F.col("h").alias("__h"), F.col("first").alias("__first"), "near")
-    out = items.join(decided, F.col(hash_) == F.col("__h"), "left")
-    # A later item of an original's hash is its copy at distance 0; of a copied class all copy the same original.
-    verdict = F.when(F.col("near").isNotNull(), F.col("near")).when(F.col("__first") < F.col(item), F.col("__first"))
-    return out.withColumn("duplicate_of", verdict).drop("__h", "__first", "near")
+    # A copied class's items each copy the closest original before them, which may come after the class's first.
+    heads = state.filter("original").select(F.col("h").alias("g"))
+    back = classes.withColumnsRenamed({"h": "g", "first": "gf"})
+    both = edges.select("h", "g", "distance").unionByName(edges.select(F.col("g").alias("h"), F.col("h").alias("g"), "distance"))
+    near = both.join(heads, "g").join(back, "g").join(state.filter("not original").select("h"), "h", "left_semi")
+    rows = items.select(F.col(item).alias("__i"), F.col(hash_).alias("h"))
+    closest = rows.join(near, "h").filter(F.col("gf") < F.col("__i")).groupBy("__i").agg(F.min_by("gf", F.struct("distance", "gf")).alias("near"))
+    decided = classes.select(F.col("h").alias("__h"), F.col("first").alias("__first"))
+    out = items.join(decided, F.col(hash_) == F.col("__h"), "left").join(closest, F.col(item) == F.col("__i"), "left")
+    # A later item of an original's hash is its copy at distance 0.
+    verdict = F.coalesce("near", F.when(F.col("__first") < F.col(item), F.col("__first")))
+    return out.withColumn("duplicate_of", verdict).drop("__h", "__first", "__i", "near")
 
 
 def copied(items: DataFrame, verdicts: DataFrame, item: str) -> DataFrame:

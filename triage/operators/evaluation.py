@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from triage import config
 from triage.functions.scores import band_rank, decide, limits, normalize
 
-POSITIVE = F.lit("positive")
-
 
 def share(a: Column, b: Column) -> Column:
     """a / b, 0 where there is nothing to divide by."""

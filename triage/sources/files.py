@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,23 @@ def is_image(path: Column) -> Column:
     return name.rlike(r"\.(" + "|".join(config.IMAGE_EXTENSIONS) + ")$") & ~name.startswith(".") & ~name.isin(*config.JUNK_NAMES)
 
 
-def images(spark: SparkSession, root: str) -> DataFrame:
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files of no bytes below a folder, which Spark's file sources leave out, in the binaryFile schema."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listing, found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0:
+            found.append((f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000), 0, bytearray()))
+    return spark.createDataFrame(found, "path string, modificationTime timestamp, length long, content binary")
+
+
+def images(spark: SparkSession, root: str, with_empty: bool = True) -> DataFrame:
     """Pictures below a folder: path, relative, length, content. Content is read only where it is selected."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(is_image(F.col("path")))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if with_empty:
+        found = found.unionByName(empty_files(spark, root))
+    found = found.filter(is_image(F.col("path")))
     prefix = F.concat(F.regexp_replace(F.lit(root), r"^\w+://", ""), F.lit("/"))
     relative = F.element_at(F.split("path", prefix), -1)
     return found.select("path", relative.alias("relative"), "length", "modificationTime", "content")
