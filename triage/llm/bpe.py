@@ -36,6 +36,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from triage.llm.common import release
+
 #: Bytes of text of a block.
 BLOCK = 1 << 24
 _ROW = "part int, block string, kind int, payload binary"
@@ -141,6 +143,8 @@ def _split(parts: int, limit: int):
                     block, nth = _Block(), nth + 1
         if block.ids:
             yield _rows(block.rows(parts, f"{task}-{nth}"))
+        del block
+        release()
 
     return run
 
@@ -161,6 +165,8 @@ def _encode(path: str):
                     payload = _pack(n, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum())))
                 out.append((part, block, kind, payload))
             yield _rows(out)
+        del known
+        release()
 
     return run
 
@@ -206,6 +212,8 @@ def _join(path: str, digest: bool):
             else:
                 first.append([x for k in c for x in place[k]])
                 second.append(decoded)
+        del place, numbers, texts
+        release()
         if digest:
             return pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
         return pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.string())})

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -17,6 +19,17 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _scratch: set[str] = set()
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: idle workers stay beside the JVM until the executor ends."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def words(text: Column | str) -> Column:
     """Array of words of a text (null: none), on the JVM side."""
     text = F.col(text) if isinstance(text, str) else text

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triage.llm.common import drop, stored
+from triage.llm.common import drop, release, stored
 from triage.llm.components import components
 from triage.llm.shingles import chunks, mix64, shingle_sets
 
@@ -99,6 +99,7 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), lists(keys, BANDS), lists(odd, ODD_WORDS), lists(parity, SET_WORDS)], schema=_SIGN
             )
+    release()
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -133,6 +134,7 @@ def _sets(batches):
             s, at = shingle_sets(texts[i:j], WIDTH)
             raw = s.tobytes()
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array([raw[8 * p : 8 * q] for p, q in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
+    release()
 
 
 def _confirm(percent: int):
@@ -148,6 +150,7 @@ def _confirm(percent: int):
                 if both and 100 * both >= percent * (len(p) + len(q) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+        release()
 
     return run
 

@@ -85,7 +85,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     return s, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
 
 
-def chunks(values, limit: int = 1 << 21):
+def chunks(values, limit: int = 1 << 20):
     """Slices of a list of bytes of about `limit` bytes; a longer text is a slice of its own."""
     begin, held = 0, 0
     for i, v in enumerate(values):
