@@ -25,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import uuid
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -40,11 +42,13 @@ from triage.llm.bpe import tokenizer
 from triage.llm.common import scratch_path, stored
 
 MAGIC = b"TOKSHRD1"
+if sys.byteorder != "little":
+    raise ImportError("shards are written in the machine's byte order, which has to be little-endian")
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 400, 8192, 65_536, 3
 #: Most segments that a worker remembers; it forgets all beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
-_SEGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_SEGMENT = re.compile(r"[ \t-\r]*(?:[^\W_]++(?=[,.!?;:])|[^ \t-\r]+)|[ \t-\r]+")
 #: White space beside which a segment's tokens may depend on its neighbour.
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
@@ -53,14 +57,24 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian bytes.
 
     A byte-level pre-tokenizer never joins a word with what follows it, so a
-    run of blanks with the word behind it is encoded once and remembered.
-    Texts with other white space or special tokens are encoded whole.
+    run of blanks with the word behind it (letters or digits up to a mark such
+    as a comma, where a token always ends) is encoded once and remembered by
+    the process. Texts with other white space or special tokens are encoded whole.
     """
 
+    _of: dict = {}
+
+    def __new__(cls, path: str):
+        if path not in cls._of:
+            cls._of[path] = super().__new__(cls)
+            cls._of[path].known = {}
+        return cls._of[path]
+
     def __init__(self, path: str):
-        self.t, self.known = tokenizer(path), {}
+        self.t = tokenizer(path)
         self.special = re.compile("|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or "(?!)")
         self.kind = np.dtype("<u2" if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"  # of the machine, which is little-endian
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -69,10 +83,9 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         plain = [None if _WIDE.search(x) or self.special.search(x) else _SEGMENT.findall(x) for x in texts]
-        new = {s for x in plain if x for s in x if s not in self.known}
-        new = list(new)
+        new = list(set().union(*filter(None, plain)).difference(self.known))
         for s, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = self.pack(e.ids)
+            self.known[s] = array(self.code, e.ids).tobytes()
         look = self.known.__getitem__
         return [self.pack(self.t.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(look, x)) for t, x in zip(texts, plain, strict=True)]
 
