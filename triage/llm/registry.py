@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triage.llm import ann, bpe, licenses, linededup, mixing, neardup, pii, quality, tokenfile, warc
+from triage.llm import ann, bpe, licenses, linededup, mixing, neardup, oracles, pii, quality, tokenfile, warc
 
 
 def queries():
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return oracles.oracle_sql()

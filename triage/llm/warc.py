@@ -25,7 +25,6 @@ import base64
 import hashlib
 import uuid
 import zlib
-from datetime import datetime, timedelta
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -357,13 +356,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    """Per page what its record says, read back, and its place in the merged capture history."""
+    """Per page what its record says, read back from the archive and offset that the merged capture history names."""
     folder = scratch_path(spark, "warc")
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    history = merge_index(spark, archives, folder).select(F.col("file").alias("f"), F.col("offset").alias("o"), "urlkey", F.col("range").alias("index_range"), F.col("nth").alias("index_nth"))
+    history = merge_index(spark, archives, folder).select(F.col("file").alias("f"), F.col("offset").alias("o"))
     records = read_archives(archives, folder)
-    return records.join(history, (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "index_range", "index_nth")
-
-
-def when_of(seconds: int) -> str:
-    return (datetime(1970, 1, 1) + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return records.join(history, (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
