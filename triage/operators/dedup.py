@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triage import config
@@ -102,5 +102,7 @@ def originals(journal: DataFrame) -> DataFrame:
 
 def first_by_digest(files: DataFrame, digest: str, *order: str) -> DataFrame:
     """Adds note 'duplicate-of:<first>' to all but the first file, in order, of equal bytes."""
-    first = F.first("path").over(Window.partitionBy(digest).orderBy(*order))
-    return files.withColumn("note", F.when(first != F.col("path"), F.concat(F.lit("duplicate-of:"), first)).otherwise(""))
+    first = files.groupBy(F.col(digest).alias("__k")).agg(F.min(F.struct(*order, "path"))["path"].alias("__first"))
+    joined = files.join(first, F.col(digest) == F.col("__k"), "left")
+    note = F.when(F.col("__first") != F.col("path"), F.concat(F.lit("duplicate-of:"), "__first")).otherwise("")
+    return joined.withColumn("note", note).drop("__k", "__first")
