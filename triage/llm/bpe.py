@@ -11,11 +11,12 @@ white space before it merges, and no token or special token spans any. So
    together; decoding joins each id to its piece (a table as large as the
    vocabulary) and the pieces by one space.
 
-Only words and codes are shuffled, compressed, and each distinct word of a
-block once. A partition holds the words of one hash value and a block its own
-documents, so neither grows with a common word or a hot source. A block is
-named after its place and content; one that arrives incomplete after a lost
-executor raises instead of giving wrong ids.
+Only words and codes are shuffled, once, compressed, and each distinct word of
+a block once; the texts are read once for the words and once for the codes. A
+partition holds the words of one hash value and a block its own documents, so
+neither grows with a common word or a hot source. A block is named after its
+content: blocks of equal content are one, given as often as they occur, and a
+block that arrives incomplete raises instead of giving wrong ids.
 
 Defined results: null text is empty, and an empty or blank text has no ids
 (n_tokens 0, digests of the empty string); equal rows, repeated ids and null
@@ -27,13 +28,12 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from triage.llm.common import release
@@ -94,27 +94,34 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 
 class _Block:
-    """Documents of a block as word codes."""
+    """Documents of a block as codes of its words, which are numbered as they come."""
 
-    def __init__(self):
-        self.ids, self.counts, self.codes, self.size = [], [], [], 0
+    def __init__(self, coded: bool):
+        self.coded, self.ids, self.counts, self.codes, self.size = coded, [], [], [], 0
         self.words: defaultdict = defaultdict()
         self.words.default_factory = self.words.__len__
-        self.digest = hashlib.blake2b(digest_size=8)
+        self.digest = hashlib.blake2b(digest_size=16)
 
     def add(self, doc_id, text: bytes) -> None:
         found = text.split()
         self.ids.append(doc_id)
-        self.counts.append(len(found))
-        self.codes.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
+        if self.coded:
+            self.counts.append(len(found))
+            self.codes.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
+        else:
+            self.words.update(dict.fromkeys(found))
         self.size += len(text)
-        self.digest.update(text)
+        self.digest.update(f"{doc_id} {len(text)} ".encode() + text)
 
-    def rows(self, parts: int, name: str):
-        """A row of words for each hash partition, and one of codes."""
-        name += "-" + self.digest.hexdigest()
-        words = list(self.words)
+    def rows(self, parts: int):
+        """The row of codes, or a row of words for each hash partition."""
+        name, words = self.digest.hexdigest(), list(self.words)
         part = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(parts)
+        if self.coded:
+            known = np.array([x is not None for x in self.ids], np.uint32)
+            ids = np.array([x or 0 for x in self.ids], np.int64).view(np.uint32)
+            yield 0, name, 1, _pack(known, ids, np.array(self.counts, np.uint32), part, np.concatenate([*self.codes, np.zeros(0, np.uint32)]))
+            return
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -122,9 +129,6 @@ class _Block:
             i, j = bounds[p], bounds[p + 1]
             if i < j:
                 yield p, name, 0, squeeze(b" ".join([words[k] for k in order[i:j]]))
-        known = np.array([x is not None for x in self.ids], np.uint32)
-        ids = np.array([x or 0 for x in self.ids], np.int64).view(np.uint32)
-        yield crc32(name.encode()) % parts, name, 1, _pack(known, ids, np.array(self.counts, np.uint32), part, np.concatenate([*self.codes, np.zeros(0, np.uint32)]))
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -132,17 +136,18 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((a, b, c, d), _FIELDS, strict=True)], schema=_FIELDS)
 
 
-def _split(parts: int, limit: int):
+def _split(parts: int, limit: int, coded: bool):
     def run(batches):
-        block, nth, task = _Block(), 0, TaskContext.get().partitionId()
+        block = _Block(coded)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 block.add(doc_id, text.as_py() or b"")
                 if block.size >= limit:
-                    yield _rows(block.rows(parts, f"{task}-{nth}"))
-                    block, nth = _Block(), nth + 1
-        if block.ids:
-            yield _rows(block.rows(parts, f"{task}-{nth}"))
+                    if rows := list(block.rows(parts)):
+                        yield _rows(rows)
+                    block = _Block(coded)
+        if block.ids and (rows := list(block.rows(parts))):
+            yield _rows(rows)
         del block
         release()
 
@@ -155,16 +160,15 @@ def _encode(path: str):
         for batch in batches:
             out = []
             for part, block, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 0:
-                    words = zstandard.ZstdDecompressor().decompress(payload).split(b" ")
-                    new = [w for w in words if w not in known]
-                    for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                        known[w] = tuple(e.ids)
-                    ids = [known[w] for w in words]
-                    n = np.fromiter(map(len, ids), np.uint32, len(ids))
-                    payload = _pack(n, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum())))
-                out.append((part, block, kind, payload))
-            yield _rows(out)
+                words = zstandard.ZstdDecompressor().decompress(payload).split(b" ")
+                new = [w for w in words if w not in known]
+                for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    known[w] = tuple(e.ids)
+                ids = [known[w] for w in words]
+                n = np.fromiter(map(len, ids), np.uint32, len(ids))
+                out.append((part, block, kind, _pack(n, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum())))))
+            if out:
+                yield _rows(out)
         del known
         release()
 
@@ -174,24 +178,29 @@ def _encode(path: str):
 def _join(path: str, digest: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        kinds = table.column("kind").to_pylist()
-        if kinds.count(1) != 1:
-            raise RuntimeError("a block came apart: its codes are missing or twice there")
+        kinds, seen = table.column("kind").to_pylist(), Counter()
+        times = kinds.count(1)  # blocks of this content
+        if not times:
+            raise RuntimeError("a block came apart: its codes are missing")
         known, ids, counts, part, codes = _unpack(table.column("payload")[kinds.index(1)].as_py())
         ids = ids.view(np.int64)
         lengths, place = np.zeros(len(part), np.int64), [()] * len(part)
         done = np.zeros(len(part), bool)
         for i, kind in enumerate(kinds):
             if kind == 0:
+                p = table.column("part")[i].as_py()
+                seen[p] += 1
+                if seen[p] > 1:
+                    continue
                 n, flat = _unpack(table.column("payload")[i].as_py())
-                at = np.flatnonzero(part == table.column("part")[i].as_py())
-                if len(at) != len(n) or done[at].any():
+                at = np.flatnonzero(part == p)
+                if len(at) != len(n):
                     raise RuntimeError("a block came apart: its words differ between runs")
                 done[at], lengths[at] = True, n
                 ends, flat = np.cumsum(n), flat.tolist()
                 for k, e, m in zip(at.tolist(), ends.tolist(), n.tolist(), strict=True):
                     place[k] = flat[e - m : e]
-        if not done.all():
+        if not done.all() or any(n != times for n in seen.values()):
             raise RuntimeError("a block came apart: words are missing")
         number, piece = [str(i) for i in range(len(pieces(path)))], pieces(path)
         numbers = [" ".join([number[i] for i in x]) for x in place]
@@ -215,8 +224,10 @@ def _join(path: str, digest: bool):
         del place, numbers, texts
         release()
         if digest:
-            return pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
-        return pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.string())})
+            out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
+        else:
+            out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.string())})
+        return pa.concat_tables([out] * times)
 
     return run
 
@@ -224,8 +235,9 @@ def _join(path: str, digest: bool):
 def encode(docs: DataFrame, path: str, digest: bool = False, block_bytes: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, and ids with decoded text, or (digest) their SHA-256."""
     parts = min(65_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_split(parts, block_bytes), _ROW)
-    encoded = rows.repartition(parts, "part").mapInArrow(_encode(path), _ROW)
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    words = rows.mapInArrow(_split(parts, block_bytes, False), _ROW).repartition(parts, "part").mapInArrow(_encode(path), _ROW)
+    encoded = words.unionByName(rows.mapInArrow(_split(parts, block_bytes, True), _ROW))
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
     return encoded.groupBy("block").applyInArrow(_join(path, digest), schema)
 
