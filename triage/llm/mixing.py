@@ -30,7 +30,7 @@ SCHEDULES = (
 )
 SHARE, CAP = 1.5, 2.0
 #: Documents of one prefix-sum bucket, about.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 256
 
 
 def text_size(text: str = "text") -> Column:
