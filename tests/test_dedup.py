@@ -73,3 +73,21 @@ def test_dhash_of_pictures():
     big = np.kron(rng.integers(0, 255, (8, 9)), np.ones((16, 16)))
     assert hashing.dhash(big) == hashing.dhash(big[::2, ::2]) and hashing.dhash(np.zeros((0, 0))) == 0
     assert hashing.dhash(np.full((20, 20), 9)) == 0
+
+
+def test_simhash(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[1:])), (4, None), (5, " ".join(f"z{i}" for i in range(200)))]
+    got = {r.doc_id: r.simhash for r in hashing.text_simhash(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1] == got[2] and got[4] is None
+
+    def far(a, b):
+        return ((got[a] ^ got[b]) & (2**64 - 1)).bit_count()
+
+    assert far(1, 3) <= 6 < far(1, 5)
+
+
+def test_first_by_digest(spark):
+    files = spark.createDataFrame([("b", "x", 2), ("a", "x", 3), ("c", "y", 1), ("d", None, 1)], "path string, sha string, period int")
+    got = {r.path: r.note for r in dedup.first_by_digest(files, "sha", "period").collect()}
+    assert got == {"b": "", "a": "duplicate-of:b", "c": "", "d": ""}

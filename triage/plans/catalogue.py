@@ -281,7 +281,7 @@ def hamming_pairs(spark, sf_dir):
 
 @query()
 def near_dedup_greedy(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", hashing.text_simhash(F.col("text")).alias("simhash"))
+    docs = hashing.text_simhash(table(spark, sf_dir, "documents"), "doc_id", "text")
     return dedup.greedy(dedup.cut(docs), "doc_id", "simhash").select("doc_id", "duplicate_of")
 
 
