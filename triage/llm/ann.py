@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 
 from triage.llm.common import stored
 
-TABLES, PROJECTIONS, WIDTH, PROBES, FLIPS, SALTS, TOP = 6, 10, 2.2, 300, 5, 1, 5
+TABLES, PROJECTIONS, WIDTH, PROBES, FLIPS, SALTS, TOP = 6, 10, 2.2, 450, 5, 1, 5
+SLACK = 1e-4
+#: Index entries of a partition, about; there is one for each vector and table.
+PART_ROWS = 8000
 _FIELDS = "p int, kind int, id long, vector array<float>, cells array<long>"
 _NAMES = ["p", "kind", "id", "vector", "cells"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,18 +175,26 @@ class _Cells:
             m = np.zeros((len(self.rows), width))
             for k, r in enumerate(self.rows):
                 m[k, : len(r)] = r
-            self.ready = ({c: np.array(v) for c, v in where.items()}, m, np.sqrt((m * m).sum(1)), np.array(self.ids), np.array([len(r) for r in self.rows]))
-        where, m, norm, ids, lengths = self.ready
+            norm = np.sqrt((m * m).sum(1))
+            unit = (m / norm[:, None]).astype(np.float32)
+            self.ready = ({c: np.array(v, np.int32) for c, v in where.items()}, m, unit, norm, np.array(self.ids), np.array([len(r) for r in self.rows]))
+        where, m, unit, norm, ids, lengths = self.ready
         found = [where[c] for c in cells if c in where]
         if not found:
             return []
-        k = np.unique(np.concatenate(found))
-        k = k[lengths[k] == len(vector)]
+        seen = np.zeros(len(m), bool)
+        seen[np.concatenate(found)] = True
+        k = np.flatnonzero(seen & (lengths == len(vector)))
         if not len(k):
             return []
         q = np.zeros(m.shape[1])
         q[: len(vector)] = vector
-        score = (m[k] * q).sum(1) / (norm[k] * np.sqrt((q * q).sum()))
+        size = np.sqrt((q * q).sum())
+        if len(k) > 4 * top:
+            # Single precision finds all that may be among the best; SLACK is far above its error.
+            rough = unit[k] @ (q / size).astype(np.float32)
+            k = k[rough >= np.partition(rough, len(k) - top)[len(k) - top] - SLACK]
+        score = (m[k] * q).sum(1) / (norm[k] * size)
         order = np.lexsort((ids[k], -score))[:top]
         return [(int(ids[k[o]]), float(score[o])) for o in order]
 
@@ -221,10 +232,11 @@ def usable(vector: Column) -> Column:
 
 def search(vectors: DataFrame, queries: Column, top: int = TOP, salts: int = SALTS) -> DataFrame:
     """The nearest `top` other rows of each row of vectors (vec_id, embedding) that `queries` picks: query_id, rank, vec_id, score."""
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     # -0.0 is 0.0 in a grouping key, as it is in a cosine.
     classes = stored(rows.groupBy("embedding").agg(F.min("vec_id").alias("class")), "vector-classes")
+    # As many partitions as the index fills: a query sends its vector to, and gets a few rows from, each that it visits.
+    parts = max(1, -(-classes.count() * TABLES // PART_ROWS))
     named = rows.distinct().withColumnRenamed("embedding", "e").join(classes, F.col("e") == F.col("embedding")).select("vec_id", "class")
     named = stored(named, "vector-names")
     asked = stored(named.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("class").alias("query")), "vector-queries")
