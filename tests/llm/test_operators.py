@@ -216,6 +216,34 @@ def test_lines_cases(docs, none):
     assert linededup.counts(none).count() == 0 and linededup.dedup_lines(none, cols).count() == 0
 
 
+UNSPACED = [
+    "今天天气很好我们去公园散步吧",
+    "今天天气很好我们去看电影然后回家",
+    "https://example.org/archive/2021/03/one-long-article-about-rivers.html",
+    "https://example.org/archive/1998/11/another-page-on-the-mountains.html",
+    "configuration_alpha=1",
+    "configuration_beta=2",
+    "c2hvcnQga2V5IG9uZSBvZiBtYW55IHdpdGggYSBjb21tb24gc3RhcnQ=",
+    "c2hvcnQga2V5IHR3byB0aGF0IGdvZXMgb24gcXVpdGUgZGlmZmVyZW50bHk=",
+    "abc",
+    "abcd",
+]
+
+
+def full_similar(lines, width=5):
+    sets = [{x[k : k + width] for k in range(max(1, len(x) - width + 1))} for x in lines]
+    return {(lines[i], lines[j]) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def test_lines_without_blanks(spark):
+    assert not full_similar(UNSPACED)
+    copies = [UNSPACED[2].replace("one", "two"), "X" + UNSPACED[6]]  # changed inside, and at the start
+    rows = [(i, x) for i, x in enumerate([*UNSPACED, *copies])]
+    assert len(full_similar([t for _, t in rows])) == 2
+    got = by_id(linededup.counts(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.n_kept for i, r in got.items()} == {i: int(i < len(UNSPACED)) for i, _ in rows}
+
+
 # -- 4 ----------------------------------------------------------------------
 
 ODD = [None, "", " \n", "Hello  World\n\n  x", "a b c\u0085d", "<|endoftext|>", "x<|endoftext|> y  <|endoftext|>  z", "don't I'LL we've ’s\t\t", "é ́a \n̸=", "foo \n bar", "日本語 テキスト ១២ ½²", "a" * 3000, "a,b;c! 1.5, x:y?z", "ΑΣ Σίσυφος", "İstanbul ǅ ﬁ ß"]
