@@ -244,6 +244,18 @@ def test_lines_without_blanks(spark):
     assert {i: r.n_kept for i, r in got.items()} == {i: int(i < len(UNSPACED)) for i, _ in rows}
 
 
+def test_lines_of_mixed_buckets(spark, monkeypatch):
+    # One bucket holds every line: families that are not similar to its smallest nor its largest line, and lines alone.
+    monkeypatch.setattr(linededup, "bands", lambda line: F.array(*[F.lit(b).cast("long") for b in range(linededup.BANDS)]))
+    rows = []
+    for k in range(24):
+        base = prose(12, 2000 + k)
+        rows += [(10 * k + j, base + " " + "x" * j) for j in range(1 + k % 3)]
+    assert len(full_similar([t for _, t in rows])) >= 24
+    got = by_id(linededup.counts(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.n_kept for i, r in got.items()} == {i: int(i % 10 == 0) for i, _ in rows}
+
+
 # -- 4 ----------------------------------------------------------------------
 
 ODD = [None, "", " \n", "Hello  World\n\n  x", "a b c\u0085d", "<|endoftext|>", "x<|endoftext|> y  <|endoftext|>  z", "don't I'LL we've ’s\t\t", "é ́a \n̸=", "foo \n bar", "日本語 テキスト ១២ ½²", "a" * 3000, "a,b;c! 1.5, x:y?z", "ΑΣ Σίσυφος", "İstanbul ǅ ﬁ ß"]
