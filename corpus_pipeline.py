@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return neardup.keep_one(docs, DOC_COLUMNS)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return neardup.keep_one(docs, DOC_COLUMNS, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -590,3 +590,15 @@ def test_pipeline(spark):
             comp = plain_components(before.items())
             assert sorted(r.doc_id for r in after) == sorted(i for i, x in comp.items() if i == x)
     assert c.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+def test_pipeline_near_copies_at_80(spark):
+    import corpus_pipeline as c
+
+    rows = []
+    for k in range(20):
+        w = [f"w{k}x{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(w), "en", "s", 1), (2 * k + 1, " ".join([*w[:50], "new", *w[51:90], "other", *w[91:]]), "en", "s", 1)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(100)} for _, t, *_ in rows[:2]]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    assert sorted(r.doc_id for r in c.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()) == list(range(0, 40, 2))

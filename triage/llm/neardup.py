@@ -19,7 +19,8 @@
 
 With BANDS x ROWS samples a pair at 0.85 exactly is missed with probability
 (1 - 0.85^ROWS)^BANDS = 2e-5, and the sketch's cut lies six standard errors
-below the threshold.
+below the threshold. Below 0.85 the bands are LOW_BANDS x LOW_ROWS (6e-5 at
+0.8), and the cut lies LOW_MARGIN below.
 
 Defined results: null, empty and blank texts have no shingles and no links;
 ties do not arise, ids being compared; rows of one id are one document whose
@@ -45,6 +46,8 @@ SAMPLES, BITS = BANDS * ROWS, 64 * ODD_WORDS
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
 MARGIN = 0.18
+#: The same for thresholds below PERCENT.
+LOW_BANDS, LOW_ROWS, LOW_MARGIN = 32, 6, 0.22
 #: Each later round has so many times as many hubs in a bucket.
 SPREAD = 8
 
@@ -54,8 +57,8 @@ _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
-def signatures(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of sets with at least one shingle: set hashes (n, 2), band keys (n, BANDS), odd sketches (n, ODD_WORDS), set parities (n, SET_WORDS)."""
+def signatures(s: np.ndarray, begin: np.ndarray, bands: int = BANDS, per: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets with at least one shingle: set hashes (n, 2), band keys (n, bands), odd sketches (n, ODD_WORDS), set parities (n, SET_WORDS)."""
     n = len(begin)
     with np.errstate(over="ignore"):
         sums = np.stack([np.add.reduceat(mix64(s ^ np.uint64(c)), begin) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
@@ -63,10 +66,10 @@ def signatures(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
         least = np.empty((SAMPLES, n), np.uint64)
         for i in range(SAMPLES):
             least[i] = np.minimum.reduceat((x ^ _B[i]) * _A[i], begin)
-        keys = np.empty((n, BANDS), np.uint64)
-        for band in range(BANDS):
+        keys = np.empty((n, bands), np.uint64)
+        for band in range(bands):
             k = np.full(n, band + 1, np.uint64)
-            for i in range(band * ROWS, band * ROWS + ROWS):
+            for i in range(band * per, band * per + per):
                 k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + least[i])
             keys[:, band] = k
         bit = mix64(least + (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(33))[:, None]) % np.uint64(BITS)
@@ -80,30 +83,34 @@ def signatures(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sums, keys, odd, parity
 
 
-def _sign(batches):
-    for batch in batches:
-        ids, texts = batch.column(0), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        for i, j in chunks(texts):
-            s, at = shingle_sets(texts[i:j], WIDTH)
-            n = np.diff(at)
-            full = np.flatnonzero(n)
-            f, keys, odd, parity = np.zeros((j - i, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, ODD_WORDS), np.uint64), np.zeros((0, SET_WORDS), np.uint64)
-            if len(full):
-                f[full], keys, odd, parity = signatures(s, at[full])
-            held = (n > 0).cumsum() * (n > 0)
-
-            def lists(m, w, held=held):
-                off = np.concatenate(([0], np.cumsum((held > 0) * w))).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(off), pa.array(m.reshape(-1).view(np.int64)))
-
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), lists(keys, BANDS), lists(odd, ODD_WORDS), lists(parity, SET_WORDS)], schema=_SIGN
-            )
-    release()
+def _sign(bands: int, per: int):
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for i, j in chunks(texts):
+                s, at = shingle_sets(texts[i:j], WIDTH)
+                n = np.diff(at)
+                full = np.flatnonzero(n)
+                f, keys, odd, parity = np.zeros((j - i, 2), np.uint64), np.zeros((0, bands), np.uint64), np.zeros((0, ODD_WORDS), np.uint64), np.zeros((0, SET_WORDS), np.uint64)
+                if len(full):
+                    f[full], keys, odd, parity = signatures(s, at[full], bands, per)
+                held = (n > 0).cumsum() * (n > 0)
+
+                def lists(m, w, held=held):
+                    off = np.concatenate(([0], np.cumsum((held > 0) * w))).astype(np.int32)
+                    return pa.ListArray.from_arrays(pa.array(off), pa.array(m.reshape(-1).view(np.int64)))
+
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), lists(keys, bands), lists(odd, ODD_WORDS), lists(parity, SET_WORDS)], schema=_SIGN
+                )
+        release()
+
+    return run
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd array<long>, parity array<long>")
+def sign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    run = _sign(BANDS, ROWS) if percent >= PERCENT else _sign(LOW_BANDS, LOW_ROWS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd array<long>, parity array<long>")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -124,7 +131,7 @@ def likely(percent: int, a: str = "_a", b: str = "_b") -> Column:
     sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
     # intersection = (n_a + n_b - d) / 2 and union = (n_a + n_b + d) / 2, d the elements of one set alone
     few = (100 + percent) * differing(F.col(f"parity{a}"), F.col(f"parity{b}")) <= (100 - percent) * (n_a + n_b)
-    return sizes & few & (odd_similarity(F.col(f"odd{a}"), F.col(f"odd{b}")) >= percent / 100 - MARGIN)
+    return sizes & few & (odd_similarity(F.col(f"odd{a}"), F.col(f"odd{b}")) >= percent / 100 - (MARGIN if percent >= PERCENT else LOW_MARGIN))
 
 
 def _sets(batches):
@@ -177,7 +184,7 @@ def classes(signed: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     spark = docs.sparkSession
-    signed = stored(sign(docs), "signed")
+    signed = stored(sign(docs, percent), "signed")
     reps = stored(classes(signed), "classes")
     sketches = stored(
         signed.join(reps.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n_shingles", "bands", "odd", "parity"),
