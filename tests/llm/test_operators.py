@@ -101,6 +101,14 @@ def test_cosine_by_hand():
     assert m.best([]) == (0.0, None)
 
 
+def test_license_after_another_mark(spark):
+    inner = "property rights in several European countries changed. Released under the MIT License."
+    mpl = "\n".join(licenses.words(licenses.TEMPLATES["MPL-2.0"][0]))  # no line has two words
+    rows = [(1, "a/x.py", f"{prose(100, 1)} {inner} {prose(100, 2)}"), (2, "b/y.py", mpl), (3, "b/z.py", prose(40, 3))]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
+    assert {i: (r.license, r.origin) for i, r in got.items()} == {1: ("MIT", "header"), 2: ("MPL-2.0", "file"), 3: ("MPL-2.0", "inherited")}
+
+
 # -- 2 ----------------------------------------------------------------------
 
 

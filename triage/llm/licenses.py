@@ -5,7 +5,7 @@
    templates', so its table is bounded.
 2. Every line of a text that holds two words of the vocabulary, one of them a
    MARK, and every run of such lines, is a header candidate; of lines of more
-   than LONG words only the stretches around their marks. A header is the
+   than LONG words only the stretches around each of their marks. A header is the
    candidate whose TF-IDF vector has the largest cosine with a template, if
    that is HEADER or more. A text is a license file if its name says so, or if
    the whole text's cosine is FILE or more.
@@ -101,7 +101,7 @@ def candidates(text: str) -> list[list[str]]:
             begin = max(0, marks[0] - REACH)
             for a, b in zip(marks, [*marks[1:], len(found) + 3 * REACH], strict=True):
                 if b - a > REACH:
-                    out.append(_inner(found[begin : a + REACH]))
+                    out.extend(_inner(found[begin : a + REACH]))
                     begin = max(0, b - REACH)
         else:
             out.append(found)
@@ -109,15 +109,19 @@ def candidates(text: str) -> list[list[str]]:
     return out
 
 
-def _inner(found: list[str]) -> list[str]:
-    """A stretch from its first to its last vocabulary word around the marks: prose beside a statement is no part of it."""
-    mark = next(i for i, w in enumerate(found) if w in MARKS)
-    i = j = mark
-    while i > 0 and (found[i - 1] in VOCABULARY or (i > 1 and found[i - 2] in VOCABULARY)):
-        i -= 1
-    while j + 1 < len(found) and (found[j + 1] in VOCABULARY or (j + 2 < len(found) and found[j + 2] in VOCABULARY)):
-        j += 1
-    return found[i : j + 1]
+def _inner(found: list[str]) -> list[list[str]]:
+    """Stretches from the first to the last vocabulary word around each mark: prose beside a statement is no part of it."""
+    out, j = [], -1
+    for mark, w in enumerate(found):
+        if w not in MARKS or mark <= j:
+            continue  # a mark within the last stretch has the same one
+        i = j = mark
+        while i > 0 and (found[i - 1] in VOCABULARY or (i > 1 and found[i - 2] in VOCABULARY)):
+            i -= 1
+        while j + 1 < len(found) and (found[j + 1] in VOCABULARY or (j + 2 < len(found) and found[j + 2] in VOCABULARY)):
+            j += 1
+        out.append(found[i : j + 1])
+    return out
 
 
 def _count(batches):
@@ -149,7 +153,7 @@ def _score(matcher: Matcher):
                     if s > score + 1e-12:
                         score, name = s, t
                 called = bool(path and FILE_NAMES.match(path.rpartition("/")[2]))
-                whole, template = matcher.best(words(text)) if called or score >= HEADER else (0.0, None)
+                whole, template = matcher.best(words(text))
                 file = bool(template and (called or whole >= FILE))
                 own = name if score >= HEADER else template if file else None
                 rows.append((own, round(max(score, whole) if own else score, 6), file))
