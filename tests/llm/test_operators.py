@@ -559,6 +559,14 @@ def test_pii(spark, docs, none):
     assert pii.find_pii(none)[0].count() == 0 and pii.find_pii(docs)[0].count() == len(ROWS)
 
 
+def test_long_and_capital_secrets(spark):
+    value = "aB3" * 120
+    assert pii.loose_spans(f"token={value} end", []) == [(6, pii.KINDS.index("secret"), 366)]
+    texts = ["PASSWORD=correcthorse", "SECRET: correcthorse", "TOKEN: correcthorse", "pwd=correcthorse", "jo.doe[at)mail.example.com"]
+    found = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [len(r.found) for r in found] == [1] * 5
+
+
 def test_em_recovers_reliabilities():
     import numpy as np
 
