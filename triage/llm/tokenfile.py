@@ -32,6 +32,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -49,8 +50,40 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 400, 8192, 65_536, 3
 REMEMBERED = 1_200_000
 
 _SEGMENT = re.compile(r"[ \t-\r]*(?:[^\W_]++(?=[,.!?;:])|[^ \t-\r]+)|[ \t-\r]+")
-#: White space beside which a segment's tokens may depend on its neighbour.
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: Control characters and white space beside which a segment's tokens may depend on its neighbour.
+_WIDE = re.compile("[\x00-\x08\x0e-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: Where a byte-level pre-tokenizer parts a text.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Letters and digits of these are the same in every Unicode version.
+_OLD = re.compile("[\t-\r -~\xa1-\u024f]*")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary has for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Segments and the bytes of their ids; a new one is parted, and each part that is new is encoded."""
+
+    letters = _byte_letters()
+
+    def __init__(self, t, code: str):
+        super().__init__()
+        self.t, self.code, self.merge = t, code, t.model.tokenize
+
+    def __missing__(self, s: str) -> bytes:
+        if not _OLD.fullmatch(s):
+            found = array(self.code, self.t.encode(s, add_special_tokens=False).ids).tobytes()
+        elif len(parts := _PARTS.findall(s)) > 1:
+            found = b"".join([self[x] for x in parts])
+        else:
+            found = array(self.code, [x.id for x in self.merge(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[s] = found
+        return found
 
 
 class Encoder:
@@ -59,7 +92,8 @@ class Encoder:
     A byte-level pre-tokenizer never joins a word with what follows it, so a
     run of blanks with the word behind it (letters or digits up to a mark such
     as a comma, where a token always ends) is encoded once and remembered by
-    the process. Texts with other white space or special tokens are encoded whole.
+    the process. Texts with other white space or special tokens, and all texts
+    of other tokenizers, are encoded whole.
     """
 
     _of: dict = {}
@@ -67,27 +101,36 @@ class Encoder:
     def __new__(cls, path: str):
         if path not in cls._of:
             cls._of[path] = super().__new__(cls)
-            cls._of[path].known = {}
+            cls._of[path].known = None
         return cls._of[path]
 
     def __init__(self, path: str):
+        if self.known is not None:
+            return
         self.t = tokenizer(path)
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or "(?!)")
+        made = json.loads(self.t.to_str())
+        plain = not made["normalizer"] and made["pre_tokenizer"] == _BYTE_LEVEL and made["model"]["type"] == "BPE"
+        special = "|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or "(?!)"
+        self.whole = re.compile(f"{special}|{_WIDE.pattern}" if plain else "")
         self.kind = np.dtype("<u2" if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"  # of the machine, which is little-endian
+        self.known = _Known(self.t, self.code)
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        plain = [None if _WIDE.search(x) or self.special.search(x) else _SEGMENT.findall(x) for x in texts]
-        new = list(set().union(*filter(None, plain)).difference(self.known))
-        for s, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = array(self.code, e.ids).tobytes()
-        look = self.known.__getitem__
-        return [self.pack(self.t.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(look, x)) for t, x in zip(texts, plain, strict=True)]
+            self.known.clear()
+        look, whole, out = self.known.__getitem__, self.whole.search, []
+        for x in texts:
+            if whole(x):
+                out.append(self.pack(self.t.encode(x, add_special_tokens=False).ids))
+            elif "  " in x or "\n\n" in x or " \n" in x or "\n " in x or "\t" in x or "\r" in x or "\v" in x or "\f" in x:
+                out.append(b"".join(map(look, _SEGMENT.findall(x))))
+            else:  # blanks and line ends stand alone: each begins a segment
+                out.append(b"".join(map(look, x.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))) if x else b"")
+        return out
 
 
 def _open(uri: str):
@@ -118,10 +161,10 @@ def train(docs: DataFrame, path: str, end_id: int) -> bytes:
     ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     wanted = [r[0] for r in ids.collect()]
     head = F.substring(F.coalesce("text", F.lit("")), 1, 4 * SAMPLE_IDS)
-    rows = docs.filter(F.col("doc_id").isin(wanted)).select("doc_id", head.alias("text")).limit(2 * SAMPLE_DOCS).collect()
+    rows = docs.filter(F.col("doc_id").isin(wanted)).groupBy("doc_id").agg(F.min(head).alias("text")).collect()
     enc = Encoder(path)
     end = enc.pack([end_id])
-    samples = [x[: SAMPLE_IDS * enc.kind.itemsize] + end for x in enc.encode([r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])]
+    samples = [x[: SAMPLE_IDS * enc.kind.itemsize] + end for x in enc.encode([r.text for r in sorted(rows)])]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
