@@ -166,8 +166,10 @@ def test_schedule_inverse(spark):
 
 
 def similar_lines(lines):
-    sets = [{x[m.start() : m.start() + linededup.SHINGLE] for m in WORD.finditer(x)} for x in lines]
-    return [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    """Pairs (i, j) whose sets of all five-character shingles are similar, found by brute force."""
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in lines]
+    fits = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)
+    return [(i, j) for i in range(len(lines)) for j in range(i) if fits(sets[i], sets[j])]
 
 
 def plain_lines(rows):

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by repeated joins (distributed union-find)."""
+"""Connected components of an edge table, by repeated joins (distributed union-find), and joins that split hot keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from triage.llm.common import drop, stored
 
+#: A key that has more than one in HOT of all rows (and LEAST of them) is joined by broadcast, so at most HOT keys are.
+HOT, LEAST = 1024, 100
+
+
+def beside(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows, `total` in all, with a table of one row a key that has the key's number of rows as n.
+
+    Rows of frequent keys stay where they are and meet their keys, HOT at most,
+    by broadcast; only the others are shuffled.
+    """
+    hot = F.broadcast(table.filter(F.col("n") > max(LEAST, total // HOT)))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table, key)
+    return rows.join(hot, key).unionByName(cold)
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
@@ -14,24 +28,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round links every node's neighbours to its smallest neighbour (large
     star), then points every node at its smallest known one (small star); the
     rounds grow with the logarithm of the longest path. Groups are only ever
-    reduced to their minimum, so a hub of a third of all nodes is summed on the
-    map side. Every round's edges are written to the shared folder.
+    reduced to their minimum, on the map side, and a hub's edges are not moved
+    to its task but meet its minimum by broadcast (`beside`). Every round's
+    edges are written to the shared folder.
     """
     spark = edges.sparkSession
     now = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo < hi").distinct()
     now = stored(now, "edges")
     while True:
+        n = now.count()
         # Large star: each node sends its larger neighbours to its minimum (itself included).
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        up = now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+        large = beside(up, least, "u", 2 * n).select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct()
         mid = stored(large, "large-star")
         # Small star: each node sends its smaller neighbours, and itself, to the smallest of them.
-        lowest = mid.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = mid.join(lowest, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").filter("hi > lo").distinct()
+        lowest = mid.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        two = F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))
+        small = beside(mid, lowest, "hi", mid.count()).select(two.alias("e")).select("e.hi", "e.lo").filter("hi > lo").distinct()
         nxt = stored(small, "small-star")
         # A node with two smaller neighbours, or a neighbour that is itself pointed on, means another round.
-        unsettled = nxt.groupBy("hi").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x < y").limit(1).count() or nxt.join(nxt.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count()
+        unsettled = nxt.groupBy("hi").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x < y").limit(1).count()
+        unsettled = unsettled or nxt.select("lo").distinct().join(nxt.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").limit(1).count()
         drop(spark, now, mid)
         now = nxt
         if not unsettled:

@@ -22,7 +22,7 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = componen
 LINES = f"""WITH RECURSIVE d AS (SELECT doc_id, {_LINES} AS lines FROM documents),
 o AS (SELECT line, min(doc_id) AS owner FROM (SELECT doc_id, unnest(lines) AS line FROM d) GROUP BY line),
 k AS (SELECT *, row_number() OVER (ORDER BY owner, line) AS id FROM o),
-s AS (SELECT id, list_distinct(list_transform(list_filter(range(1, length(line) + 1), lambda i: regexp_matches(substr(line, i, 1), '[^\\x20\\x09-\\x0D]') AND (i = 1 OR regexp_matches(substr(line, i - 1, 1), '{_BLANK}'))), lambda i: substr(line, i, {linededup.SHINGLE}))) AS s FROM k),
+s AS (SELECT id, CASE WHEN length(line) < {linededup.GRAM} THEN [line] ELSE list_distinct(list_transform(range(1, length(line) - {linededup.GRAM} + 2), lambda i: substr(line, i, {linededup.GRAM}))) END AS s FROM k),
 u AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
 f AS (SELECT g, count(*) AS n FROM u GROUP BY g),
 v AS (SELECT id, u.n, u.g FROM u JOIN f ON f.g = u.g QUALIFY row_number() OVER (PARTITION BY id ORDER BY f.n, u.g) <= u.n - ceil({linededup.SIMILARITY} * u.n) + 1),
