@@ -11,15 +11,22 @@ from triage.llm.common import drop, stored
 HOT, LEAST = 1024, 100
 
 
+def frequent(table: DataFrame, key: str, total: int) -> list:
+    """The keys of a table (one row a key, its number of rows as n) that have more than one in HOT of `total` rows: HOT at most."""
+    return [r[0] for r in table.filter(F.col("n") > max(LEAST, total // HOT)).select(key).collect()]
+
+
 def beside(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of rows, `total` in all, with a table of one row a key that has the key's number of rows as n.
 
-    Rows of frequent keys stay where they are and meet their keys, HOT at most,
+    Rows of frequent keys, HOT keys at most, stay where they are and meet them
     by broadcast; only the others are shuffled.
     """
-    hot = F.broadcast(table.filter(F.col("n") > max(LEAST, total // HOT)))
-    cold = rows.join(hot.select(key), key, "left_anti").join(table, key)
-    return rows.join(hot, key).unionByName(cold)
+    hot = frequent(table, key, total)
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(table, key))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

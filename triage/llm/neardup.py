@@ -5,9 +5,9 @@
    which each MinHash sample flips one bit.
 2. Documents of one set are one class; only its smallest id goes on.
 3. Documents that share a band key are candidates. In a bucket each member
-   meets the bucket's smallest id; later rounds, with twice as many hubs each,
-   only meet members whose components still differ, until every pair of a
-   bucket was compared or is connected. No round lists a bucket's own pairs.
+   meets the bucket's smallest id; later rounds (`buckets.resolve`) only pair
+   members whose components still differ, in cells of bounded size, until every
+   pair of a bucket was compared or is connected.
 4. Odd sketches verify candidates. The population count of the XOR of two
    sketches of MinHash samples estimates the similarity; pairs far below the
    threshold go no further. A second parity bitmap, of the whole set, loses
@@ -34,11 +34,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triage.llm.buckets import resolve, unresolved
 from triage.llm.common import drop, release, stored
-from triage.llm.components import components
+from triage.llm.components import beside, components, frequent
 from triage.llm.shingles import chunks, mix64, shingle_sets
 
 WIDTH, BANDS, ROWS, ODD_WORDS, SET_WORDS = 5, 28, 7, 8, 16
@@ -48,8 +49,6 @@ PERCENT = 85
 MARGIN = 0.18
 #: The same for thresholds below PERCENT.
 LOW_BANDS, LOW_ROWS, LOW_MARGIN = 32, 6, 0.22
-#: Each later round has so many times as many hubs in a bucket.
-SPREAD = 8
 
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -108,6 +107,10 @@ def _sign(bands: int, per: int):
     return run
 
 
+def bands_of(percent: int) -> int:
+    return BANDS if percent >= PERCENT else LOW_BANDS
+
+
 def sign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     run = _sign(BANDS, ROWS) if percent >= PERCENT else _sign(LOW_BANDS, LOW_ROWS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd array<long>, parity array<long>")
@@ -177,8 +180,8 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """(f1, f2, n_shingles, rep): documents of one shingle set, by their smallest id."""
-    return signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    """(f1, f2, n_shingles, rep, n): documents of one shingle set, by their smallest id."""
+    return signed.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,8 +194,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "sketches",
     )
     keyed = sketches.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    hubs = stored(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub"), "hubs")
-    members = stored(keyed.join(hubs, "key"), "members")
+    hubs = stored(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub < last").select("key", "hub", "n"), "hubs")
+    members = stored(beside(keyed, hubs, "key", sketches.count() * bands_of(percent)), "members")
     drop(spark, hubs)
     wanted = stored(members.select("rep").distinct(), "wanted")
     sets = stored(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
@@ -200,54 +203,45 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tested = stored(members.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = confirmed(tested, sketches, sets, percent)
     groups = stored(components(links), "components")
-    open_rows = _unresolved(members, groups)
-    if open_rows is not None:
-        # Ranks stay as they are while buckets close, so every pair is met once: by the hub of lower rank.
-        ranked = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep")))
-        ranked = stored(ranked.join(sketches.select("doc_id", "n_shingles", "odd", "parity"), F.col("rep") == F.col("doc_id")).drop("doc_id"), "ranked")
-        deepest, first = ranked.agg(F.max("rank")).collect()[0][0], 2
-        while first < deepest:
-            now = _with_components(ranked, groups)
-            hub = now.filter(F.col("rank").between(first, SPREAD * first - 1))
-            hub = hub.withColumnsRenamed({c: f"{c}_a" for c in hub.columns})
-            rest = now.filter(F.col("rank") > first)
-            rest = rest.withColumnsRenamed({c: f"{c}_b" for c in rest.columns})
-            met = (F.col("key_a") == F.col("key_b")) & (F.col("rank_b") > F.col("rank_a")) & (F.col("comp_a") != F.col("comp_b")) & likely(percent)
-            new = stored(rest.join(hub, met).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            more = confirmed(new, sketches, sets, percent)
-            tested = tested.unionByName(new)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                groups = stored(components(links), "components")
-            first *= SPREAD
+    # Of a bucket of two the pair was compared.
+    left = unresolved(members.select("key", F.col("rep").alias("name")), groups, 3)
+    if left.limit(1).count():
+        ready = stored(left.join(sketches.select("doc_id", "n_shingles", "odd", "parity"), F.col("name") == F.col("doc_id")).drop("doc_id"), "ranked")
+        groups = resolve(ready, groups, links, tested, likely(percent), lambda new: confirmed(new, sketches, sets, percent))
     drop(spark, sets)
-    whole = stored(reps.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n_shingles").alias("g3"), F.coalesce("component", "rep").alias("comp")), "classes-done")
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(
-        whole, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("g3")) & F.col("doc_id").isNotNull(), "left"
-    )
-    out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    # Classes that are not their own component's smallest id or that have more than one document; all others are their own.
+    whole = reps.join(groups, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", "n", F.coalesce("component", "rep").alias("comp"), "rep")
+    whole = stored(whole.filter("n > 1 or comp <> rep"), "classes-done")
+    rows = signed.select("doc_id", "n_shingles", "f1", "f2")
+    some = rows.filter("n_shingles > 0 and doc_id is not null")
+    keys = ["f1", "f2", "n_shingles"]
+    hot = frequent(whole, "f1", rows.count())
+    right = whole.drop("n", "rep")
+    if hot:  # a frequent class's documents meet it by broadcast
+        is_hot = F.col("f1").isin(hot)
+        some = some.filter(is_hot).join(F.broadcast(right.filter(is_hot)), keys, "left").unionByName(some.filter(~is_hot).join(right, keys, "left"))
+    else:
+        some = some.join(right, keys, "left")
+    some = some.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    none = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = some.unionByName(none)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _with_components(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-
-
-def _unresolved(members: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """Members of buckets of three or more that still hold two components, or None."""
-    now = stored(_with_components(members.select("key", "rep"), groups), "members-now")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y and n > 2").select("key")
-    out = stored(now.join(mixed, "key").select("key", "rep"), "unresolved")
-    return out if out.limit(1).count() else None
-
-
 def keep_one(docs: DataFrame, columns: tuple[str, ...], percent: int = PERCENT) -> DataFrame:
-    """One document of each group, whole, with these columns (pipeline stage). Repeated rows of an id leave one."""
+    """One document of each group, whole, with these columns (pipeline stage).
+
+    All texts of an id that is kept stay; of rows equal in id and text one does.
+    """
     gone = stored(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     rest = docs.select(*columns).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    numbered = rest.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(first)))
-    return numbered.filter("__nth = 1").select(*columns)
+    again = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__again"), F.xxhash64("text").alias("__text")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = stored(again.select("__again", "__text"), "again")
+    if not again.limit(1).count():  # ids name one row each, as they should: no text is moved
+        return rest
+    met = (F.col("doc_id") == F.col("__again")) & (F.xxhash64("text") == F.col("__text"))
+    firsts = rest.join(again, met, "left_semi").groupBy("doc_id", "text").agg(*[F.min(c).alias(c) for c in columns if c not in ("doc_id", "text")])
+    return rest.join(again, met, "left_anti").unionByName(firsts.select(*columns))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
