@@ -332,6 +332,19 @@ def test_quality_thresholds(spark):
     assert {r.doc_id for r in stage.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_thresholds_of_own_groups(spark):
+    # Two sources of one language, of 300 documents each: what is usual in one is a fault in the other.
+    rows = [(i, " ".join(w + "$" for w in prose(60, i).split()) if i % 2 else prose(60, i), "en", "ab"[i % 2], 0) for i in range(600)]
+    rows += [(1000, " ".join(w + "$" for w in prose(60, 1000).split()), "en", "a", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = by_id(quality.quality(df))
+    assert all(got[i].kept for i in range(600)) and not got[1000].kept
+    # A group of one document stands by its language, in proportion.
+    fences = {(r.lang, r.source): r for r in quality.thresholds(quality.sketch(quality.measure(df.unionByName(spark.createDataFrame([(2000, prose(60, 1), "en", "c", 0)], DOCS))))).collect()}
+    high = [fences["en", s].high_symbol_ratio for s in "abc"]
+    assert high[0] < high[1] and high[2] > high[0]
+
+
 def test_sketch_quantiles_and_merge(spark):
     import random
 
@@ -569,6 +582,29 @@ def test_long_and_capital_secrets(spark):
     assert [len(r.found) for r in found] == [1] * 5
 
 
+def test_loose_spans_never_overlap():
+    import random
+
+    rng = random.Random(12)
+    parts = ["password=abcdefgh1", "123-45-6789", "(123) 456-7890", "a@b.co", "4111 1111 1111 1111", "0049123456789", "x", ",", " ", "token: ", "10.0.0.1", "joe(at)mail.com"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(8))
+        base = pii.base_spans(t)
+        got = pii.loose_spans(t, base)
+        taken, want = [(i, j) for i, _, j in base], []
+        found = sorted((m.start(m.lastindex or 0), -m.end(m.lastindex or 0), pii.KINDS.index(kind)) for kind, p in pii._LOOSE for m in p.finditer(t))
+        for i, j, kind in found:
+            if all(-j <= a or b <= i for a, b in taken):
+                taken.append((i, -j))
+                want.append((i, kind, -j))
+        assert got == want, t
+
+
+def test_pii_query(spark):
+    got = pii.op10_pii(spark, SF).collect()
+    assert all(r.n_added == len([x for x in r.spans.split(",") if x]) - r.n_email - r.n_ip - r.n_card - r.n_phone for r in got) and sum(r.n_added for r in got) > 0
+
+
 def test_em_recovers_reliabilities():
     import numpy as np
 

@@ -51,7 +51,7 @@ TEMPLATES = {
 #: Words without which a line is no license header, and names of license files.
 MARKS = frozenset("license licence licensed licenses copyright permission rights redistribution cc cc0 gpl mit bsd apache mozilla domain".split())
 FILE_NAMES = re.compile(r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$")
-HEADER, FILE, LONG, REACH = 0.6, 0.5, 48, 12
+HEADER, FILE, CALLED, LONG, REACH = 0.6, 0.5, 0.4, 48, 12
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
 
@@ -154,8 +154,9 @@ def _score(matcher: Matcher):
                         score, name = s, t
                 called = bool(path and FILE_NAMES.match(path.rpartition("/")[2]))
                 whole, template = matcher.best(words(text))
-                file = bool(template and (called or whole >= FILE))
+                file = whole >= (CALLED if called else FILE)
                 own = name if score >= HEADER else template if file else None
+                file = file or called and own is not None  # a license file may hold little but its header
                 rows.append((own, round(max(score, whole) if own else score, 6), file))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], ["doc_id", "path", "own", "score", "is_file"])

@@ -55,6 +55,11 @@ def _quartiles(by: str) -> str:
  FROM (SELECT {keys}, {_VALUE} AS val, sum(n) OVER ({part} ORDER BY b) AS upto, sum(n) OVER ({part}) AS docs FROM (SELECT {keys}, b, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY {keys}"""
 
 
+def _drawn(q: str) -> str:
+    k = f"{quality.SHRINK}::DOUBLE"
+    return f"(q.docs * q.{q} + {k} * ((ql.docs * ql.{q} + {k} * qe.{q}) / (ql.docs + {k}))) / (q.docs + {k})"
+
+
 _WIDTH = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in quality.FENCES.items()) + " END::DOUBLE"
 _SLACK = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in quality.FENCES.items()) + " END::DOUBLE"
 
@@ -71,8 +76,7 @@ x AS ({_fence('symbol_ratio', 'n_symbols::DOUBLE / nullif(word_chars, 0)')} UNIO
 sk AS (SELECT lang, source, metric, CASE WHEN v <= 0 THEN 0 ELSE greatest(1, ceil(ln(v / 1e-6::DOUBLE) / ln({_G}))::INTEGER + 1) END AS b, count(*) AS n
  FROM x WHERE v IS NOT NULL AND doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed) GROUP BY ALL),
 q AS ({_quartiles('lang, source')}), ql AS ({_quartiles('lang')}), qe AS ({_quartiles('')}),
-f AS (SELECT q.lang, q.source, q.metric, CASE WHEN q.docs >= {quality.LEAST_DOCS} THEN q.q1 WHEN ql.docs >= {quality.LEAST_DOCS} THEN ql.q1 ELSE qe.q1 END AS q1,
- CASE WHEN q.docs >= {quality.LEAST_DOCS} THEN q.q3 WHEN ql.docs >= {quality.LEAST_DOCS} THEN ql.q3 ELSE qe.q3 END AS q3
+f AS (SELECT q.lang, q.source, q.metric, {_drawn('q1')} AS q1, {_drawn('q3')} AS q3
  FROM q JOIN ql ON ql.lang IS NOT DISTINCT FROM q.lang AND ql.metric = q.metric JOIN qe ON qe.metric = q.metric),
 fence AS (SELECT lang, source, metric, q1 - greatest({_WIDTH} * (q3 - q1), {_SLACK}) AS low, q3 + greatest({_WIDTH} * (q3 - q1), {_SLACK}) AS high FROM f),
 odd AS (SELECT DISTINCT x.doc_id FROM x JOIN fence f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source AND f.metric = x.metric WHERE x.v > f.high OR (x.metric = 'mean_word' AND x.v < f.low))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -117,11 +118,20 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     for kind, pattern in _LOOSE:
         for m in pattern.finditer(text):
             found.append((m.start(m.lastindex or 0), -m.end(m.lastindex or 0), KINDS.index(kind)))
-    taken, out = sorted((i, j) for i, _, j in base), []
+    # Base spans of two kinds may overlap: their union is a row of stretches that don't.
+    walls: list[list[int]] = []
+    for i, j in sorted((i, j) for i, _, j in base):
+        if walls and i < walls[-1][1]:
+            walls[-1][1] = max(walls[-1][1], j)
+        else:
+            walls.append([i, j])
+    starts, done, out = [i for i, _ in walls], 0, []
     for i, j, kind in sorted(found):
-        if all(-j <= a or b <= i for a, b in taken):
-            taken.append((i, -j))
+        # Candidates come by start, so one that begins behind all taken ones overlaps none.
+        k = bisect_left(starts, -j) - 1  # the last stretch that begins before the candidate's end
+        if i >= done and (k < 0 or walls[k][1] <= i):
             out.append((i, kind, -j))
+            done = -j
     return out
 
 
@@ -265,6 +275,9 @@ def find_pii(docs: DataFrame) -> tuple[DataFrame, dict]:
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
+    """Base counts and digest, all spans, and how many of them the method added (n_added)."""
     out, _ = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    n_added = F.size("spans") - sum(F.col(f"n_{k}") for k in BASE)
+    out = out.withColumn("n_added", n_added.cast("long"))
     text = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return out.withColumn("spans", F.array_join(text, ","))

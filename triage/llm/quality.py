@@ -5,9 +5,12 @@ ratio (a log-bucket quantile sketch): counts of equal buckets add up, so
 sketches of any parts of the data merge exactly, in any order, and a quantile
 is known to a relative error of ALPHA. There is one sketch for each language,
 source and metric; merged over the sources it is the language's, merged over
-all it is the corpus's. A group with too few documents borrows the next wider
-sketch. Thresholds are outer fences of the quartiles, never less than a floor,
-so a group of clean documents loses none for being its group's tail.
+all it is the corpus's. A group's quartiles are drawn toward those of the next
+wider sketch, as if SHRINK documents of it had been seen beside its own: a group
+of few documents is judged mostly by its language, a large one by itself, and
+no size switches from one to the other. Thresholds are outer fences of the
+quartiles, never less than a floor, so a group of clean documents loses none for
+being its group's tail.
 
 All of it is DataFrame functions; nothing is shuffled but counts and one
 slim row a document.
@@ -27,8 +30,8 @@ from triage.llm.common import let, salted_join, stored, words
 #: Relative error of a quantile, and the ratio of neighbouring bucket bounds.
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: Least documents of a group that has thresholds of its own.
-LEAST_DOCS = 200
+#: Documents of the wider sketch that count beside a group's own.
+SHRINK = 30.0
 #: Per metric: fence width in quartile ranges, and the slack that a fence has at least.
 FENCES = {"symbol_ratio": (6.0, 0.05), "dup_line_ratio": (6.0, 0.40), "stutter_ratio": (6.0, 0.25), "mean_word": (6.0, 2.0)}
 #: Most rows of a thresholds table that is broadcast; beyond it the join is salted.
@@ -113,7 +116,7 @@ def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
 
 
-def thresholds(sketches: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def thresholds(sketches: DataFrame, shrink: float = SHRINK) -> DataFrame:
     """A row for each language and source: low_<metric> and high_<metric>."""
     group = quartiles(sketches, ["lang", "source"])
     lang = quartiles(sketches, ["lang"]).withColumnsRenamed({"docs": "l_docs", "q1": "l_q1", "q3": "l_q3", "lang": "l_lang", "metric": "l_metric"})
@@ -121,7 +124,8 @@ def thresholds(sketches: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     all_three = group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(every, F.col("metric") == F.col("e_metric"))
 
     def pick(q: str) -> Column:
-        return F.when(F.col("docs") >= least_docs, F.col(q)).when(F.col("l_docs") >= least_docs, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
+        wider = (F.col("l_docs") * F.col(f"l_{q}") + F.lit(shrink) * F.col(f"e_{q}")) / (F.col("l_docs") + F.lit(shrink))
+        return (F.col("docs") * F.col(q) + F.lit(shrink) * wider) / (F.col("docs") + F.lit(shrink))
 
     width = F.create_map(*[F.lit(x) for k, v in FENCES.items() for x in (k, v[0])])
     slack = F.create_map(*[F.lit(x) for k, v in FENCES.items() for x in (k, v[1])])
@@ -160,9 +164,10 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The rows of docs that the rules keep, with these columns (pipeline stage).
 
-    Measures whole texts twice, once for the sketches and once beside the
-    text, rather than shuffle the texts to their verdicts.
+    Texts are measured once and written with their measures, so the verdicts
+    need no shuffle of texts and no second measuring.
     """
-    fences = stored(thresholds(sketch(measure(docs))), "quality-fences")
+    measured = stored(measure(docs, keep=tuple(columns)), "quality")
+    fences = stored(thresholds(sketch(measured)), "quality-fences")
     small = fences.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return judge(measure(docs, keep=tuple(columns)), fences, small).filter("kept").select(*columns)
+    return judge(measured, fences, small).filter("kept").select(*columns)
