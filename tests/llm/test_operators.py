@@ -101,6 +101,38 @@ def test_cosine_by_hand():
     assert m.best([]) == (0.0, None)
 
 
+def test_licenses_by_plain_cosines(spark):
+    """Every document of the smallest tables, by cosines written out over plain dictionaries."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.format_string("d%d/x.txt", "doc_id").alias("path"), "text")
+    texts = {r.doc_id: licenses.words(r.text or "") for r in df.collect()}
+    raw = {r.doc_id: r.text or "" for r in df.collect()}
+    templates = [(k, Counter(licenses.words(x))) for k in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[k]]
+    known = set().union(*[t for _, t in templates])
+    docs_with = Counter(w for t in texts.values() for w in set(t) & known)
+    idf = lambda w: math.log((1 + len(texts)) / (1 + docs_with[w] if w in known else 1)) + 1
+
+    def best(found):
+        v = {w: n * idf(w) for w, n in Counter(found).items()}
+        size = lambda x: math.sqrt(sum(y * y for y in x.values()))
+        scores = [(sum(x * v.get(w, 0) for w, x in u.items()) / (size(u) * size(v)), k) for k, t in templates for u in [{w: n * idf(w) for w, n in t.items()}]] if v else []
+        top = max((s for s, _ in scores), default=0.0)
+        return top, next((k for s, k in scores if s > top - 1e-11), None)
+
+    got = by_id(licenses.scan(df))
+    for i, t in texts.items():
+        head = max((best(c) for c in licenses.candidates(raw[i])), key=lambda x: x[0], default=(0.0, None))
+        whole = best(t)
+        own = head[1] if head[0] >= licenses.HEADER else whole[1] if whole[0] >= licenses.FILE else None
+        assert got[i].license == own and got[i].score == pytest.approx(max(head[0], whole[0]) if own else head[0], abs=2e-6), i
+
+
+def test_license_files_need_a_license(spark):
+    covenant = "Covenant of the river people. Whoever reads this may fish, provided that the moon is up and the boats are whole. " + prose(60, 4)
+    rows = [(1, "a/LICENSE", covenant), (2, "a/b.py", prose(40, 1)), (3, "c/LICENSE", licenses._MIT), (4, "c/d.py", prose(40, 2)), (5, "e/COPYING", licenses._BSD), (6, "e/f.py", None), (6, "e/f.py", None)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
+    assert {i: (r.license, r.origin) for i, r in got.items()} == {1: (None, "none"), 2: (None, "none"), 3: ("MIT", "file"), 4: ("MIT", "inherited"), 5: ("BSD-3-Clause", "file"), 6: ("BSD-3-Clause", "inherited")}
+
+
 def test_license_after_another_mark(spark):
     inner = "property rights in several European countries changed. Released under the MIT License."
     mpl = "\n".join(licenses.words(licenses.TEMPLATES["MPL-2.0"][0]))  # no line has two words
@@ -143,7 +175,25 @@ def test_mixing(spark):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 64
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7), mixing.text_size()).collect()))
+    # Positions by hand: the middle of a document's words in its source's hash order, through the schedule's integral.
+    spans = defaultdict(list)
+    for r in df.select("doc_id", "source", F.xxhash64(F.lit(17), F.col("doc_id")).alias("h")).collect():
+        spans[r.source].append((r.h & (1 << 64) - 1, r.doc_id))
+    places = {}
+    for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
+        knots, before = mixing.SCHEDULES[k % 3], 0
+        fine = [i / 20000 for i in range(20001)]
+        rate = [next(w0 + (w1 - w0) * (t - t0) / (t1 - t0) for (t0, w0), (t1, w1) in itertools.pairwise(knots) if t0 <= t <= t1) for t in fine]
+        area = list(itertools.accumulate(((a + b) / 2 for a, b in itertools.pairwise(rate)), initial=0.0))
+        for _, i in sorted(spans[s]):
+            due = [(p * sizes[s] + before + size[i] / 2) / want[s] for p in (0, 1)]
+            places[i] = [next(t for t, x in zip(fine, area, strict=True) if x >= d * area[-1]) for d in due if d < 1]
+            before += size[i]
+    for r in got:
+        assert r.positions == pytest.approx(places[r.doc_id], abs=1e-3)
     order = mixing.training_order(df, ["doc_id", "text"]).collect()
+    exact = {r.doc_id: r.positions for r in got}
+    assert [r.doc_id for r in order] == [i for _, i in sorted((t, i) for i, ts in exact.items() for t in ts)]
     assert Counter(r.doc_id for r in order) == Counter({r.doc_id: len(r.positions) for r in got if r.positions})
 
 
@@ -643,7 +693,11 @@ def test_pipeline(spark):
         elif name == "near_dedup":
             comp = plain_components(before.items())
             assert sorted(r.doc_id for r in after) == sorted(i for i, x in comp.items() if i == x)
-    assert c.STAGES[-1][1](spark, df, SF).count() == df.count()
+    # Positions are those of the training order: the rows of the stored files, one after the other.
+    out = [r.doc_id for r in c.STAGES[-1][1](spark, df, SF).orderBy("position").collect()]
+    files = sorted({r[0] for r in df.select("_metadata.file_name").distinct().collect()})
+    stored = [r.doc_id for f in files for r in df.filter(F.col("_metadata.file_name") == f).select("doc_id", "_metadata.row_index").orderBy("row_index").collect()]
+    assert out == stored
 
 
 def test_pipeline_near_copies_at_80(spark):

@@ -34,12 +34,15 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from triage.llm.common import release
 
 #: Bytes of text of a block.
 BLOCK = 1 << 24
+#: Most words whose ids a task remembers; it forgets all beyond that, and encodes them again.
+REMEMBERED = 2_000_000
 _ROW = "part int, block string, kind int, payload binary"
 _FIELDS = pa.schema([("part", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("payload", pa.binary())])
 _loaded: dict = {}
@@ -97,21 +100,22 @@ class _Block:
     """Documents of a block as codes of its words, which are numbered as they come."""
 
     def __init__(self, coded: bool):
-        self.coded, self.ids, self.counts, self.codes, self.size = coded, [], [], [], 0
+        self.coded, self.ids, self.places, self.counts, self.codes, self.size = coded, [], [], [], [], 0
         self.words: defaultdict = defaultdict()
         self.words.default_factory = self.words.__len__
         self.digest = hashlib.blake2b(digest_size=16)
 
-    def add(self, doc_id, text: bytes) -> None:
+    def add(self, doc_id, text: bytes, place: int) -> None:
         found = text.split()
         self.ids.append(doc_id)
+        self.places.append(place)
         if self.coded:
             self.counts.append(len(found))
             self.codes.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
         else:
             self.words.update(dict.fromkeys(found))
         self.size += len(text)
-        self.digest.update(f"{doc_id} {len(text)} ".encode() + text)
+        self.digest.update(f"{doc_id} {place} {len(text)} ".encode() + text)
 
     def rows(self, parts: int):
         """The row of codes, or a row of words for each hash partition."""
@@ -120,7 +124,8 @@ class _Block:
         if self.coded:
             known = np.array([x is not None for x in self.ids], np.uint32)
             ids = np.array([x or 0 for x in self.ids], np.int64).view(np.uint32)
-            yield 0, name, 1, _pack(known, ids, np.array(self.counts, np.uint32), part, np.concatenate([*self.codes, np.zeros(0, np.uint32)]))
+            places = np.array(self.places, np.int64).view(np.uint32)
+            yield 0, name, 1, _pack(known, ids, places, np.array(self.counts, np.uint32), part, np.concatenate([*self.codes, np.zeros(0, np.uint32)]))
             return
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -140,8 +145,8 @@ def _split(parts: int, limit: int, coded: bool):
     def run(batches):
         block = _Block(coded)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                block.add(doc_id, text.as_py() or b"")
+            for doc_id, text, place in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                block.add(doc_id, text.as_py() or b"", place)
                 if block.size >= limit:
                     if rows := list(block.rows(parts)):
                         yield _rows(rows)
@@ -161,6 +166,8 @@ def _encode(path: str):
             out = []
             for part, block, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = zstandard.ZstdDecompressor().decompress(payload).split(b" ")
+                if len(known) > REMEMBERED:
+                    known.clear()
                 new = [w for w in words if w not in known]
                 for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = tuple(e.ids)
@@ -175,14 +182,14 @@ def _encode(path: str):
     return run
 
 
-def _join(path: str, digest: bool):
+def _join(path: str, digest: bool, placed: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         kinds, seen = table.column("kind").to_pylist(), Counter()
         times = kinds.count(1)  # blocks of this content
         if not times:
             raise RuntimeError("a block came apart: its codes are missing")
-        known, ids, counts, part, codes = _unpack(table.column("payload")[kinds.index(1)].as_py())
+        known, ids, places, counts, part, codes = _unpack(table.column("payload")[kinds.index(1)].as_py())
         ids = ids.view(np.int64)
         lengths, place = np.zeros(len(part), np.int64), [()] * len(part)
         done = np.zeros(len(part), bool)
@@ -202,7 +209,10 @@ def _join(path: str, digest: bool):
                     place[k] = flat[e - m : e]
         if not done.all() or any(n != times for n in seen.values()):
             raise RuntimeError("a block came apart: words are missing")
-        number, piece = [str(i) for i in range(len(pieces(path)))], pieces(path)
+        # Decoding joins the block's distinct ids to the id-to-piece table, and each word's ids to its pieces.
+        used = pa.table({"id": pa.array(sorted({i for x in place for i in x}), pa.int64())})
+        piece = dict(zip(*used.join(pa.table({"id": pa.array(range(len(pieces(path))), pa.int64()), "piece": pieces(path)}), "id").to_pydict().values(), strict=True))
+        number = {i: str(i) for i in piece}
         numbers = [" ".join([number[i] for i in x]) for x in place]
         texts = [" ".join([piece[i] for i in x]) for x in place]
         begin = np.concatenate(([0], np.cumsum(counts.astype(np.int64))))
@@ -227,19 +237,25 @@ def _join(path: str, digest: bool):
             out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
         else:
             out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.string())})
+        if placed:
+            out = out.append_column("position", pa.array(places.view(np.int64)))
         return pa.concat_tables([out] * times)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, digest: bool = False, block_bytes: int = BLOCK) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, and ids with decoded text, or (digest) their SHA-256."""
+def encode(docs: DataFrame, path: str, digest: bool = False, block_bytes: int = BLOCK, position: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, and ids with decoded text, or (digest) their SHA-256; a position (long) goes along.
+
+    docs is read twice and has to come the same both times, as stored files do.
+    """
     parts = min(65_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    place = F.lit(0) if position is None else position
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.cast("long").alias("place"))
     words = rows.mapInArrow(_split(parts, block_bytes, False), _ROW).repartition(parts, "part").mapInArrow(_encode(path), _ROW)
     encoded = words.unionByName(rows.mapInArrow(_split(parts, block_bytes, True), _ROW))
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return encoded.groupBy("block").applyInArrow(_join(path, digest), schema)
+    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string") + ("" if position is None else ", position long")
+    return encoded.groupBy("block").applyInArrow(_join(path, digest, position is not None), schema)
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

@@ -33,10 +33,29 @@ from pyspark.sql import functions as F
 
 from triage.llm.common import salted_join, stored
 
-#: Short statements of common licenses.
+#: Whole texts of two short licenses.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS
+PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+#: Statements of common licenses.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", _BSD),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -44,7 +63,7 @@ TEMPLATES = {
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License"),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", _MIT),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission."),
 }
@@ -70,19 +89,29 @@ class Matcher:
         top = math.log(1 + documents) + 1
         self.idf = {w: top - math.log(1 + frequency.get(w, 0)) for w in VOCABULARY}
         self.other = top
-        self.templates = [(name, v, math.sqrt(sum(x * x for x in v.values()))) for name in sorted(TEMPLATES) for s in TEMPLATES[name] for v in [self.vector(words(s))]]
+        self.names, self.of = [], {}
+        for name in sorted(TEMPLATES):
+            for text in TEMPLATES[name]:
+                v = self.vector(words(text))
+                size = math.sqrt(sum(x * x for x in v.values()))
+                for w, x in v.items():
+                    self.of.setdefault(w, []).append((len(self.names), x / size))
+                self.names.append(name)
 
     def vector(self, found: list[str]) -> dict[str, float]:
         return {w: n * self.idf.get(w, self.other) for w, n in Counter(found).items()}
 
     def best(self, found: list[str]) -> tuple[float, str | None]:
+        """The largest cosine and its license; only words of the templates are looked at, by an inverted index."""
         v = self.vector(found)
-        norm = math.sqrt(sum(x * x for x in v.values()))
+        norm, dots = math.sqrt(sum(x * x for x in v.values())), [0.0] * len(self.names)
+        for w in self.of.keys() & v.keys():
+            for template, x in self.of[w]:
+                dots[template] += x * v[w]
         score, name = 0.0, None
-        for template, t, size in self.templates:
-            dot = sum(x * v[w] for w, x in t.items() if w in v)
-            if dot > 0 and dot / (size * norm) > score + 1e-12:
-                score, name = dot / (size * norm), template
+        for template, dot in enumerate(dots):
+            if dot > 0 and dot / norm > score + 1e-12:
+                score, name = dot / norm, self.names[template]
         return score, name
 
 

@@ -135,9 +135,13 @@ def _prefix(buckets: DataFrame, bits: int) -> DataFrame:
 
 
 def training_order(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus: each taken document once a time it is taken, range-sorted by position."""
+    """The mixed corpus: each taken document once a time it is taken, range-sorted by position.
+
+    Ties stand by id, then by a hash of the text: bounds of ranges are sampled
+    on the driver, which must not get whole texts.
+    """
     taken = mix(docs, text_size(), carry=tuple(columns)).withColumn("__position", F.explode("positions"))
-    return taken.orderBy("__position", "doc_id", "text").select(*columns)
+    return taken.orderBy("__position", "doc_id", F.xxhash64("text")).select(*columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -130,27 +131,38 @@ def _capture(line: bytes) -> tuple:
     return k, ts, int(page) if page else None, file, int(offset), int(length)
 
 
-def write_run(uri: str, captures) -> int:
-    """Sorted captures as lines, and beside them the first of every SPARSE lines with its place."""
-    sparse, n = [], 0
+class RunWriter:
+    """A run: sorted captures as lines, and beside them the first of every SPARSE lines with its place; visible once closed."""
+
+    def __init__(self, uri: str):
+        self.uri, (self.system, self.path) = uri, _open(uri)
+        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.other = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.file = self.system.open_output_stream(self.other, compression=None)
+        self.sparse, self.n, self.at = [], 0, 0
 
-    def body():
-        nonlocal n
-        at, held = 0, []
+    def add(self, captures) -> None:
+        lines = []
         for c in captures:
             line = _line(c)
-            if n % SPARSE == 0:
-                sparse.append(b"%d\t" % at + line)
-            n, at = n + 1, at + len(line)
-            held.append(line)
-            if len(held) == 4096:
-                yield b"".join(held)
-                held = []
-        yield b"".join(held)
+            if self.n % SPARSE == 0:
+                self.sparse.append(b"%d\t" % self.at + line)
+            self.n, self.at = self.n + 1, self.at + len(line)
+            lines.append(line)
+        self.file.write(b"".join(lines))
+
+    def close(self) -> int:
+        self.file.close()
+        put(self.uri + ".idx", self.sparse)
+        self.system.move(self.other, self.path)
+        return self.n
 
-    put(uri, body())
-    put(uri + ".idx", sparse)
-    return n
+
+def write_run(uri: str, captures) -> int:
+    run, captures = RunWriter(uri), iter(captures)
+    while part := list(islice(captures, 4096)):
+        run.add(part)
+    return run.close()
 
 
 def read_run(uri: str, low=None, high=None, step: int = 1 << 16):
@@ -288,22 +300,17 @@ def _merge_range(folder: str, runs: list[str], bounds: list[str]):
     def run(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                tree = LoserTree([read_run(f"{folder}/runs/{x}", limits[i], limits[i + 1]) for x in runs])
-                held, part = [], []
-
-                def keep(tree=tree, held=held):
-                    for c in tree:
-                        held.append(c)
-                        yield c
-
-                # The shard's file is written as the merge goes; its captures follow in batches.
-                write_run(f"{folder}/index/part-{i:05d}.cdx", keep())
-                for j in range(0, len(held), 8192):
-                    part = held[j : j + 8192]
+                tree = iter(LoserTree([read_run(f"{folder}/runs/{x}", limits[i], limits[i + 1]) for x in runs]))
+                # The shard's file is written as the merge goes, and its captures follow in batches: a range is never held whole.
+                shard = RunWriter(f"{folder}/index/part-{i:05d}.cdx")
+                while part := list(islice(tree, 8192)):
+                    first = shard.n
+                    shard.add(part)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * len(part), pa.int32()), pa.array(range(j, j + len(part)), pa.int64()), *[pa.array(x) if k not in (2,) else pa.array(x, pa.int64()) for k, x in enumerate(zip(*part, strict=True))]],
+                        [pa.array([i] * len(part), pa.int32()), pa.array(range(first, first + len(part)), pa.int64()), *[pa.array(x) if k not in (2,) else pa.array(x, pa.int64()) for k, x in enumerate(zip(*part, strict=True))]],
                         ["range", "nth", "urlkey", "ts", "page_id", "file", "offset", "length"],
                     )
+                shard.close()
 
     return run
 
@@ -359,6 +366,7 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Per page what its record says, read back from the archive and offset that the merged capture history names."""
     folder = scratch_path(spark, "warc")
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    history = merge_index(spark, archives, folder).select(F.col("file").alias("f"), F.col("offset").alias("o"))
+    # The history grows with the pages: it is joined by a shuffle, whatever its stored size.
+    history = merge_index(spark, archives, folder).select(F.col("file").alias("f"), F.col("offset").alias("o")).hint("merge")
     records = read_archives(archives, folder)
     return records.join(history, (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
