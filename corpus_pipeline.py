@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triage.llm import bpe, linededup, mixing, neardup, quality
 from triage.llm.common import DOC_COLUMNS, stored
@@ -30,8 +32,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and the digest of what they decode to."""
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    """Token ids of each document and the digest of what they decode to, with its position in the training order.
+
+    Stages hand on the columns of documents alone, so the order is that of the
+    stored rows: a file's number, then the row's in it. Rows that come from no
+    file stand as their partitions give them.
+    """
+    try:
+        placed = docs.select(*DOC_COLUMNS, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        position = F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long") * F.lit(1 << 36) + F.col("__row")
+    except AnalysisException:
+        placed, position = docs, F.monotonically_increasing_id()
+    return bpe.encode(placed, public_tokenizers.path("word_bpe_49k.json"), digest=True, position=F.coalesce(position, F.lit(0)))
 
 
 STAGES = [
