@@ -147,9 +147,16 @@ def test_quads(spark):
 
 def test_brand_text(spark):
     terms = ("ACME", "Blue Harbor")
+
+    def best(t, terms=terms):
+        return tuple(text.best_terms([t], text.term_table(terms)).loc[t])
+
     for t in ("ACME", "acme", "A.C.M.E.", "the ACME shop", "BlueHarbor", "visit blue harbor today"):
-        assert text.best_term(t, terms)[0] >= 90, t
-    assert text.best_term("blue harb0r", terms)[0] >= 80 and text.best_term("bl", terms) == (0.0, "") and text.best_term("harb", terms)[0] == 0
+        assert best(t)[0] >= 90, t
+    assert best("blue harb0r")[0] >= 80 and best("bl") == (0.0, "") and best("harb")[0] == 0
+    # By hand: "acne" shares a, c, e with "acme", 2 x 3 of 8 letters; a search gives "blu harbor" 10 of its 10 with one letter apart.
+    assert text.ratio("acme", "acne") == 75 and best("acne") == (0.0, "") and best("blu harbor")[0] == pytest.approx(200 * 10 / 21)
+    assert text.best_terms(["x"], text.term_table(())).loc["x", "score"] == 0 and best("acme", ("ACME", "acme"))[1] == "ACME" 
     df = spark.createDataFrame([("ACME",), (None,)], "t string").select(text.brand_match(F.col("t"), terms).alias("m"))
     assert [(r.m.score, r.m.term) for r in df.collect()] == [(100.0, "ACME"), (0.0, "")]
     assert [r.v for r in spark.createDataFrame([("Straße-7 ",), (None,)], "t string").select(text.normalized(F.col("t")).alias("v")).collect()] == ["strasse 7", ""]
@@ -268,3 +275,60 @@ def test_stream(spark, tmp_path):
     assert go()["d"] == ("c", None) and sum(seen) == 3
     scan.restart(spark, journal, state)
     assert not os.path.exists(journal)
+
+
+def test_journal_order_over_appends(spark, tmp_path):
+    """The last append of a path wins, whatever its files are called."""
+    path = str(tmp_path / "j")
+    kind = "path string, band string, confidence double"
+    for turn in range(6):
+        rows = [(f"p{i}", ("negative", "review", "positive")[(turn + i) % 3], turn / 10) for i in range(20)]
+        tables.append_journal(spark.createDataFrame(rows, kind).repartition(3), path)
+    got = {r.path: (r.band, r.confidence) for r in tables.read_journal(spark, path).collect()}
+    assert got == {f"p{i}": (("negative", "review", "positive")[(5 + i) % 3], 0.5) for i in range(20)}
+
+
+def test_tiles_and_pads_by_hand(spark):
+    """Places and sizes are rounded, half to even, from fractions; both are cut at the frame."""
+    for w, h in ((101, 77), (800, 601), (2, 2), (1, 50)):
+        got = [(*r.t.bbox, r.t.source) for r in spark.range(1).select(F.explode(boxes.tiles(F.lit(w), F.lit(h))).alias("t")).collect()]
+        want = [(0, 0, w, h, "full")]
+        for r in range(4):
+            for c in range(4):
+                x, y, tw, th = round(c * w / 4), round(r * h / 4), round(w / 3), round(h / 3)
+                if min(w, x + tw) > x and min(h, y + th) > y:
+                    want.append((x, y, min(w, x + tw) - x, min(h, y + th) - y, "tile"))
+        assert got == (want if min(w, h) >= 2 else want[:1])
+    # 33 wide, 15 %: 4.95 each side; place 10 - 4.95 = 5.05 and size 42.9.
+    assert one(spark, boxes.pad(B(10, 10, 33, 11), F.lit(200), F.lit(200), 0.15)) == (5, 8, 43, 14)
+
+
+def test_upload_names_by_hand(spark):
+    names = ["photo-scaled-150x150.jpg", "photo-1024x768.jpg", "Big-SCALED.png", "Big-2000x2000.jpg", "x.bakery.png", "y.bak.png", "icon.gif", "icon.webp", "pic.jpg", "pic.png", "zero-0x0.jpg", "zero-scaled.jpg"]
+    df = spark.createDataFrame([(f"u/2020/01/{n}", 500 if n == "pic.jpg" else 100) for n in names], "path string, size long")
+    got = {r.stem: (r.path.split("/")[-1], r.reason, r.variants_ignored) for r in workflow.best_variants(files.uploads(df, 2019, 2021)).collect()}
+    assert got == {
+        "photo": ("photo-scaled-150x150.jpg", "scaled", 1),
+        "Big": ("Big-SCALED.png", "scaled", 1),
+        "x.bakery": ("x.bakery.png", "original", 0),
+        "icon": ("icon.gif", "original", 1),
+        "pic": ("pic.jpg", "original", 1),
+        "zero": ("zero-0x0.jpg", "original", 1),
+    }
+
+
+def test_durations_and_sizes_by_hand(spark):
+    from triage.functions import scores
+
+    got = [r.t for r in spark.createDataFrame([(0, 3723.0), (1, 61.5), (2, 0.5), (3, None), (4, 3600.0)], "i int, s double").orderBy("i").select(scores.duration(F.col("s")).alias("t")).collect()]
+    assert got == ["1h 02m 03s", "1m 02s", "0s", "n/a", "1h 00m 00s"]
+    rows = [("a", x) for x in (1000, 2000, 3000, 4000)] + [("b", 1_500_000)]
+    got = {r.label: r for r in workflow.class_sizes(spark.createDataFrame(rows, "label string, size long")).collect()}
+    assert (got["a"].median_kb, got["a"].total_mb, got["a"].share, got["b"].max_kb, got["b"].share) == (3.0, 0.01, 0.8, 1500.0, 0.2)
+
+
+def test_unresolved_crops(spark):
+    results = spark.createDataFrame([("m1/a.png", "", 1, 5), ("m2/a.png", "", 1, None), ("m1/b.png", "", None, None), ("m2/b.png", "", 1, None), ("m1/c.png", "", None, None)], "filename string, duplicate_of string, x int, crop_hash long")
+    crops = spark.createDataFrame([(f"{n}_crop.png", "positive", 7) for n in "abc"], "crop string, label string, dhash long")
+    got = {r.crop[0]: (r.target, r.reason) for r in workflow.crop_targets(crops, results).collect()}
+    assert got == {"a": ("m1/a.png", "matched by content (1 bits)"), "b": (None, "no candidate could be re-cropped"), "c": ("m1/c.png", "single picture")}

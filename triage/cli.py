@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triage import config, reports
 from triage.functions.scores import decide
-from triage.operators import dedup, evaluation, signals
+from triage.operators import dedup, evaluation, recognisers, signals
 from triage.sources import files, tables
 
 VERSION = "1.0"
@@ -44,7 +44,7 @@ def scan(spark: SparkSession, source: str, out: str, names: tuple[str, ...], set
         listed = listed.orderBy(files.walk_order("relative")).limit(limit)
     new = tables.pending(listed.withColumnRenamed("path", "file").withColumnRenamed("relative", "path"), known)
     skipped = known.count()
-    hashed = dedup.cut(new.select("path", F.sha2("content", 256).alias("sha256"), files.decode(F.col("content")).alias("d")).withColumn("dhash", files.picture_hash(F.col("d"))))
+    hashed = dedup.cut(files.decoded(spark, source, new).withColumn("dhash", files.picture_hash(F.col("d"))))
     before = dedup.originals(known).select("path", "sha256", "dhash")
     ranked = before.withColumn("turn", F.lit(0)).unionByName(hashed.filter("d.error is null").select("path", "sha256", "dhash").withColumn("turn", F.lit(1)))
     # Known originals come before all new files, whatever their names.
@@ -79,8 +79,8 @@ def scan(spark: SparkSession, source: str, out: str, names: tuple[str, ...], set
 
 def score_labelled(spark: SparkSession, root: str, names: tuple[str, ...], limit: int | None = None) -> DataFrame:
     """(item, label, signals) of a labelled folder's readable pictures."""
-    found = files.labelled(spark, root, limit).select(F.concat_ws("/", "label", "relative").alias("item"), "label", files.decode(F.col("content")).alias("d"))
-    good = dedup.cut(found.filter("d.error is null"))
+    found = files.labelled(spark, root, limit).select(F.concat_ws("/", "label", "relative").alias("path"), F.col("path").alias("file"), "content", "length")
+    good = dedup.cut(files.decoded(spark, root, found).filter("d.error is null").select(F.col("path").alias("item"), F.substring_index("path", "/", 1).alias("label"), "d"))
     return dedup.cut(_scored(good, "item", names).join(good.select("item", "label"), "item"))
 
 
@@ -130,6 +130,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "version":
         print(VERSION)
         return 0
+    recognisers.install()
     names = config.signal_list(args.signals, tuple(signals.available()))
     if unknown := [n for n in names if n not in signals.available()]:
         print(f"no signal {', '.join(unknown)}; there are {', '.join(signals.available()) or 'none'}", file=sys.stderr)

@@ -25,15 +25,21 @@ def between(low: Column, high: Column, left: Column, upper: Column, width: Colum
     return F.when((x1 > x0) & (y1 > y0), box(x0, y0, x1 - x0, y1 - y0))
 
 
+def placed(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """The part inside a frame of a box whose place and size are rounded to whole pixels, null if none."""
+    left, upper = whole(x), whole(y)
+    return between(left + F.greatest(F.lit(0), whole(w)), upper + F.greatest(F.lit(0), whole(h)), left, upper, width, height)
+
+
 def clip(b: Column, width: Column, height: Column) -> Column:
     """The part of a box inside a frame, null if none."""
-    return between(whole(b["x"] + b["w"]), whole(b["y"] + b["h"]), whole(b["x"]), whole(b["y"]), width, height)
+    return placed(b["x"], b["y"], b["w"], b["h"], width, height)
 
 
 def pad(b: Column, width: Column, height: Column, share: float = config.PROPOSAL_PAD) -> Column:
-    """A proposal's box grown by a share of its sides on each side; the edges are rounded."""
+    """A proposal's box grown by a share of its sides on each side; its place and its grown size are rounded."""
     dx, dy = b["w"] * F.lit(share), b["h"] * F.lit(share)
-    return between(whole(b["x"] + b["w"] + dx), whole(b["y"] + b["h"] + dy), whole(b["x"] - dx), whole(b["y"] - dy), width, height)
+    return placed(b["x"] - dx, b["y"] - dy, b["w"] + 2 * dx, b["h"] + 2 * dy, width, height)
 
 
 def crop_pad(b: Column, width: Column, height: Column, share: float = config.CROP_PAD) -> Column:
@@ -95,25 +101,29 @@ def quad_ok(points: Column, width: Column, height: Column) -> Column:
     edges = [F.sqrt((p[i]["x"] - p[(i + 1) % 4]["x"]) ** 2 + (p[i]["y"] - p[(i + 1) % 4]["y"]) ** 2) for i in range(4)]
     shortest, longest = F.least(*edges), F.greatest(*edges)
     cx, cy = sum((q["x"] for q in p), F.lit(0.0)) / 4, sum((q["y"] for q in p), F.lit(0.0)) / 4
-    inside = cx.between(F.lit(0.0), width) & cy.between(F.lit(0.0), height)
+    inside = (cx >= 0) & (cx < width) & (cy >= 0) & (cy < height)
     fair = (shortest >= config.QUAD_EDGE) & (longest <= config.QUAD_EDGE_RATIO * shortest)
     return F.coalesce((F.size(points) == 4) & finite & convex & share.between(*config.QUAD_AREA) & fair & inside, F.lit(False))
 
 
 def tiles(width: Column, height: Column, grid: int = config.PROPOSAL_GRID) -> Column:
-    """Array of struct<bbox, source>: the frame, then (grid + 1)^2 tiles of a grid-th of its sides at steps of a (grid + 1)-th."""
+    """Array of struct<bbox, source>: the frame, then (grid + 1)^2 tiles of a grid-th of its sides at steps of a (grid + 1)-th.
+
+    Steps and sizes are fractions until a tile is placed. A frame under 2 pixels has no tiles.
+    """
     frame = F.array(F.struct(box(F.lit(0), F.lit(0), width, height).alias("bbox"), F.lit("full").alias("source")))
     if grid < 1:
         return frame
-    w, h = F.floor(width / grid), F.floor(height / grid)
-    sx, sy = F.floor(width / (grid + 1)), F.floor(height / (grid + 1))
+    w, h = width / grid, height / grid
+    sx, sy = width / (grid + 1), height / (grid + 1)
     steps = F.sequence(F.lit(0), F.lit(grid))
 
     def tile(r: Column, c: Column) -> Column:
-        b = between(c * sx + w, r * sy + h, c * sx, r * sy, width, height)
+        b = placed(c * sx, r * sy, w, h, width, height)
         return F.struct(b.alias("bbox"), F.lit("tile").alias("source"))
 
-    return F.concat(frame, F.flatten(F.transform(steps, lambda r: F.transform(steps, lambda c: tile(r, c)))))
+    all_ = F.filter(F.flatten(F.transform(steps, lambda r: F.transform(steps, lambda c: tile(r, c)))), lambda t: t["bbox"].isNotNull())
+    return F.when((width < 2) | (height < 2), frame).otherwise(F.concat(frame, all_))
 
 
 def merged(regions: Column, limit: float = config.PROPOSAL_IOU) -> Column:
@@ -141,5 +151,5 @@ def propose(hints: Column, width: Column, height: Column, budget: int = config.P
     padded = F.transform(hints, lambda r: F.struct(pad(r["bbox"], width, height).alias("bbox"), r["source"].alias("source")))
     fair = F.filter(padded, lambda r: r["bbox"].isNotNull() & area_ok(r["bbox"], width, height))
     rest = tiles(width, height)
-    top = F.slice(merged(fair), F.lit(1), F.greatest(F.lit(1), F.lit(budget) - F.size(rest)))
+    top = F.slice(merged(fair), F.lit(1), F.greatest(F.lit(0), F.lit(budget) - F.size(rest)))
     return merged(F.concat(top, rest))

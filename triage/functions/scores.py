@@ -100,7 +100,7 @@ def wilson(successes: Column, total: Column, z: float = config.WILSON_Z) -> Colu
 
 
 def duration(seconds: Column) -> Column:
-    """Seconds as h/m/s text."""
-    s = F.round(seconds).cast("long")
+    """Seconds, rounded half to even, as h/m/s text; n/a where there are none."""
+    s = F.bround(seconds.cast("double"), 0).cast("long")
     h, m = F.floor(s / 3600), F.floor(s / 60) % 60
-    return F.when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(s.isNull(), "n/a").when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s % 60)).when(m > 0, F.format_string("%dm %02ds", m, s % 60)).otherwise(F.format_string("%ds", s))

@@ -60,36 +60,39 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-def pair_score(term: str, candidate: str) -> float:
-    if not term or not candidate:
-        return 0.0
-    return partial_ratio(term, candidate) if len(candidate) >= len(term) else ratio(term, candidate)
-
-
-def best_term(text: str, terms: Iterable[str]) -> tuple[float, str]:
-    """(score, term) of the best term, spaced or glued; (0, '') for short texts and weak matches."""
-    spaced = normalized_py(text)
-    glued = spaced.replace(" ", "")
-    if len(glued) < config.MIN_TEXT:
-        return 0.0, ""
-    best, name = 0.0, ""
-    for term in terms:
-        t = normalized_py(term)
-        if len(t.replace(" ", "")) < config.MIN_TEXT:
-            continue
-        score = max(pair_score(t, spaced), pair_score(t.replace(" ", ""), glued))
-        if score > best:
-            best, name = score, term
-    return (best, name) if best >= config.MIN_FUZZ else (0.0, "")
+def term_table(terms: Iterable[str]) -> pd.DataFrame:
+    """nth, term, form, pattern: each term that has MIN_TEXT letters, in its spaced and its glued form."""
+    forms = pd.DataFrame({"term": list(terms)}, dtype=object).rename_axis("nth").reset_index()
+    forms["spaced"] = [normalized_py(t) for t in forms["term"]]
+    forms["glued"] = [t.replace(" ", "") for t in forms["spaced"]]
+    long = forms[forms["glued"].str.len() >= config.MIN_TEXT] if len(forms) else forms
+    return long.melt(["nth", "term"], ["spaced", "glued"], "form", "pattern")
+
+
+def best_terms(values: Iterable[str], table: pd.DataFrame) -> pd.DataFrame:
+    """score and term of each distinct value, by value: the arg-max over the table, of equals the first term.
+
+    A value at least as long as the pattern is searched for it, a shorter one
+    compared whole. Short values and weak matches score (0, '').
+    """
+    texts = pd.DataFrame({"value": pd.unique(pd.Series(list(values), dtype=object))})
+    texts["spaced"] = [normalized_py(v) for v in texts["value"]]
+    texts["glued"] = [v.replace(" ", "") for v in texts["spaced"]]
+    usable = texts[texts["glued"].map(len) >= config.MIN_TEXT]
+    pairs = usable.melt(["value"], ["spaced", "glued"], "form", "text").merge(table, on="form")
+    pairs["score"] = [(partial_ratio if len(v) >= len(p) else ratio)(p, v) for p, v in zip(pairs["pattern"], pairs["text"], strict=True)]
+    top = pairs.sort_values(["score", "nth"], ascending=[False, True], kind="stable").drop_duplicates("value").set_index("value")[["score", "term"]]
+    top = top[top["score"] >= config.MIN_FUZZ].reindex(texts["value"])
+    return top.assign(score=top["score"].astype(float).fillna(0.0), term=top["term"].fillna(""))
 
 
 def brand_match(text: Column, terms: Iterable[str]) -> Column:
     """struct<score, term> of the best term; a pandas UDF, as no built-in has this similarity."""
-    terms = tuple(terms)
+    table = term_table(terms)
 
     @F.pandas_udf("score double, term string")
     def match(values: pd.Series) -> pd.DataFrame:
-        known = {v: best_term(v, terms) for v in values.fillna("").unique()}
-        return pd.DataFrame([known[v] for v in values.fillna("")], columns=["score", "term"])
+        values = values.fillna("")
+        return best_terms(values, table).loc[values].reset_index(drop=True)
 
     return match(text)

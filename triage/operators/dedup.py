@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage import config
 from triage.functions.hashing import degenerate, hamming, pieces
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read again, so that rounds don't pile up lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without one a local run gets a folder of its own; a cluster's machines would not see it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("triage.cut.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="triage-")
         spark.conf.set("triage.cut.dir", folder)
-    path = f"{folder}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder and read again, so that rounds don't pile up lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

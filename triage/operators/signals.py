@@ -215,9 +215,11 @@ def group_boxes(boxes: list[tuple[int, int, int, int]], width: int, height: int)
     """Boxes that touch once grown by shares of their median height, as one box a group, and the boxes themselves."""
     if not boxes:
         return []
-    mid = float(np.median([b[3] for b in boxes]))
-    dx, dy = int(max(3, 1.2 * mid)) // 2, int(max(1, 0.4 * mid)) // 2
-    grown = [(max(0, x - dx), max(0, y - dy), min(width, x + w + dx), min(height, y + h + dy)) for x, y, w, h in boxes]
+    mid = max(1, sorted(b[3] for b in boxes)[len(boxes) // 2])  # the upper median
+    kw, kh = max(3, int(mid * 1.2)), max(1, int(mid * 0.4))
+    # A box fills its far edges; it grows by half of kw and kh, the odd pixel to the right and below.
+    edges = [(x - (kw - 1 - kw // 2), y - (kh - 1 - kh // 2), x + w + kw // 2, y + h + kh // 2) for x, y, w, h in boxes]
+    grown = [(max(0, a), max(0, b), min(width - 1, c), min(height - 1, d)) for a, b, c, d in edges]
     parent = list(range(len(boxes)))
 
     def root(i: int) -> int:
@@ -228,9 +230,9 @@ def group_boxes(boxes: list[tuple[int, int, int, int]], width: int, height: int)
     order = sorted(range(len(grown)), key=lambda i: grown[i][0])
     active: list[int] = []
     for i in order:  # a sweep over x: only boxes that reach it can touch, corners included
-        active = [j for j in active if grown[j][2] >= grown[i][0]]
+        active = [j for j in active if grown[j][2] + 1 >= grown[i][0]]
         for j in active:
-            if grown[j][1] <= grown[i][3] and grown[i][1] <= grown[j][3]:
+            if grown[j][1] <= grown[i][3] + 1 and grown[i][1] <= grown[j][3] + 1:
                 parent[root(j)] = root(i)
         active.append(i)
     groups: dict[int, list[int]] = {}
@@ -240,7 +242,7 @@ def group_boxes(boxes: list[tuple[int, int, int, int]], width: int, height: int)
     for members in groups.values():
         x0, y0 = min(grown[i][0] for i in members), min(grown[i][1] for i in members)
         x1, y1 = max(grown[i][2] for i in members), max(grown[i][3] for i in members)
-        out.append((x0, y0, x1 - x0, y1 - y0))
+        out.append((x0, y0, x1 - x0 + 1, y1 - y0 + 1))
     return sorted(out) + list(boxes)
 
 

@@ -9,7 +9,7 @@ from triage.functions.hashing import hamming
 from triage.functions.scores import wilson
 
 #: Better formats first, all others last.
-FORMAT_RANK = {"png": 0, "jpg": 1, "jpeg": 1, "webp": 2, "avif": 3}
+FORMAT_RANK = {"png": 0, "jpg": 0, "jpeg": 0, "tif": 1, "tiff": 1, "bmp": 1, "gif": 2, "webp": 3, "avif": 4}
 
 
 def flat_name(path: Column) -> Column:
@@ -75,12 +75,18 @@ def head_of(results_name: str = "filename") -> Column:
 def crop_targets(crops: DataFrame, results: DataFrame) -> DataFrame:
     """Crops (crop, label, dhash) with their original: of several results of one stem the one whose own crop hashes closest.
 
-    results: filename, duplicate_of and crop_hash, the hash of its regenerated crop.
+    results: filename, duplicate_of, x (of its box) and crop_hash, the hash of
+    its regenerated crop. One picture, with its copies, is the target without a
+    look at it; of several only those with a box and a hash can be, and where
+    none has the target is null.
     """
-    stems = results.filter("x is not null").select(F.regexp_replace(base_name(F.col("filename")), r"\.[^.]*$", "").alias("stem"), head_of().alias("target"), "crop_hash").distinct()
+    own = F.when(F.col("x").isNotNull(), F.col("crop_hash")).alias("crop_hash")
+    stems = results.select(F.regexp_replace(base_name(F.col("filename")), r"\.[^.]*$", "").alias("stem"), head_of().alias("target"), own).distinct()
     met = crops.filter(is_crop(F.col("crop"))).withColumn("stem", crop_stem(F.col("crop"))).join(stems, "stem")
-    best = met.groupBy("crop", "label").agg(F.min_by("target", F.struct(F.coalesce(hamming(F.col("dhash"), F.col("crop_hash")), F.lit(65)), F.col("target"))).alias("target"), F.count_distinct("target").alias("candidates"))
-    return best
+    far = hamming(F.col("dhash"), F.col("crop_hash"))
+    seen = met.groupBy("crop", "label").agg(F.count_distinct("target").alias("candidates"), F.min("target").alias("__only"), F.min(F.when(far.isNotNull(), F.struct(far.alias("bits"), F.col("target")))).alias("__b"))
+    reason = F.when(F.col("candidates") == 1, "single picture").when(F.col("__b").isNotNull(), F.format_string("matched by content (%d bits)", "__b.bits")).otherwise("no candidate could be re-cropped")
+    return seen.select("crop", "label", F.when(F.col("candidates") == 1, F.col("__only")).otherwise(F.col("__b.target")).alias("target"), "candidates", reason.alias("reason"))
 
 
 def conflicts(targets: DataFrame) -> DataFrame:
@@ -102,10 +108,10 @@ def classified(files: DataFrame) -> DataFrame:
     sized = r"^(.+)-(\d{1,5})x(\d{1,5})$"
     is_sized = F.col("name_stem").rlike(sized)
     bare = F.when(is_sized, F.regexp_extract("name_stem", sized, 1)).otherwise(F.col("name_stem"))
-    scaled = bare.rlike("^.+-scaled$")
+    scaled = bare.rlike("(?i)^.+-scaled$")
     area = F.when(is_sized, F.regexp_extract("name_stem", sized, 2).cast("long") * F.regexp_extract("name_stem", sized, 3).cast("long")).otherwise(F.lit(0).cast("long"))
-    rows = files.filter(F.col("ext").isin("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff", "avif") & ~F.lower("name_stem").contains(".bak"))
-    return rows.withColumn("stem", F.when(scaled, F.regexp_replace(bare, "-scaled$", "")).otherwise(bare)).withColumn("kind", F.when(is_sized, 2).when(scaled, 1).otherwise(0)).withColumn("area", area)
+    rows = files.filter(F.col("ext").isin(*FORMAT_RANK) & ~F.lower("name_stem").endswith(".bak"))
+    return rows.withColumn("stem", F.when(scaled, F.regexp_replace(bare, "(?i)-scaled$", "")).otherwise(bare)).withColumn("kind", F.when(scaled, 1).when(area > 0, 2).otherwise(0)).withColumn("area", area)
 
 
 def best_variants(files: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def best_variants(files: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for k, v in FORMAT_RANK.items() for x in (k, v)])
     order = F.struct("kind", (-F.col("area")).alias("a"), F.coalesce(F.try_element_at(rank, F.col("ext")), F.lit(9)).alias("f"), (-F.col("size")).alias("s"), F.col("path").alias("path"))
     best = classified(files).groupBy("period", "stem").agg(F.min(order).alias("b"), (F.count(F.lit(1)) - 1).alias("variants_ignored"))
-    reason = F.when(F.col("b.kind") == 0, "original").when(F.col("b.kind") == 1, "scaled").otherwise("largest-size")
+    reason = F.when(F.col("b.kind") == 0, "original").when(F.col("b.kind") == 1, "scaled").otherwise("largest-variant")
     return best.select("period", "stem", F.col("b.path").alias("path"), reason.alias("reason"), "variants_ignored")
 
 
@@ -129,18 +135,20 @@ def fitted(folder: Column, name: Column, limit: int = 255) -> Column:
 
 
 def class_sizes(files: DataFrame, label: str = "label", size: str = "size") -> DataFrame:
-    """Per class: files, share, megabytes, and least, upper-median and largest kilobytes.
+    """Per class: files, their share of all, megabytes (of 1,000,000), and least, upper-median and largest kilobytes (of 1,000).
 
     The median is found by rank in a running count of distinct sizes, so no class is gathered.
     """
     hist = files.groupBy(label, size).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(label).orderBy(size)
     run = hist.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(label)))
-    kb = F.col(size) / 1024.0
-    return run.groupBy(label).agg(
+    kb = F.col(size) / 1000.0
+    out = run.groupBy(label).agg(
         F.sum("n").alias("files"),
-        F.round(F.sum(F.col(size) * F.col("n")) / 1048576.0, 3).alias("total_mb"),
+        F.round(F.sum(F.col(size) * F.col("n")) / 1e6, 3).alias("total_mb"),
         F.round(F.min(kb), 3).alias("min_kb"),
         F.round(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), kb)), 3).alias("median_kb"),
         F.round(F.max(kb), 3).alias("max_kb"),
     )
+    everything = F.sum("files").over(Window.partitionBy())  # a row for each class
+    return out.withColumn("share", F.round(F.col("files") / everything, 4))

@@ -8,7 +8,6 @@ against 2,000 characters, and b, the share of its words that differ.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -88,16 +87,19 @@ def _rank(x: str, weak: float, strong: float) -> str:
     return f"CASE WHEN {x} >= {strong} THEN 2 WHEN {x} >= {weak} THEN 1 ELSE 0 END"
 
 
-def _judged(base: str, key: str) -> str:
-    return f"""ranked AS (SELECT *, {_rank('a', .4, .8)} AS ra, {_rank('b', .55, .75)} AS rb, {_norm('a', .4, .8)} AS na, {_norm('b', .55, .75)} AS nb FROM {base}),
+def _judged(base: str, a=(0.4, 0.8), b=(0.55, 0.75)) -> str:
+    return f"""ranked AS (SELECT *, {_rank('a', *a)} AS ra, {_rank('b', *b)} AS rb, {_norm('a', *a)} AS na, {_norm('b', *b)} AS nb FROM {base}),
 judged AS (SELECT *, greatest(ra, rb) AS r,
   CASE greatest(ra, rb) WHEN 2 THEN 'positive' WHEN 1 THEN 'review' ELSE 'negative' END AS band,
   CASE WHEN ra > rb THEN na WHEN rb > ra THEN nb ELSE greatest(na, nb) END AS confidence,
   CASE WHEN greatest(ra, rb) = 0 THEN 'none' WHEN ra > rb THEN 'a' WHEN rb > ra THEN 'b' WHEN na >= nb THEN 'a+b' ELSE 'b+a' END AS method FROM ranked)"""
 
 
-_J = f"WITH {_SCORED}, {_judged('scored', 'item')}"
-_JD = f"WITH {_DOCS}, {_judged('docs', 'doc_id')}"
+_J = f"WITH {_SCORED}, {_judged('scored')}"
+_JD = f"WITH {_DOCS}, {_judged('docs')}"
+#: Thresholds that many items miss, so that reports of misses have rows.
+STRICT = config.Settings(thresholds={"a": (0.90, 0.95), "b": (0.90, 0.97)}, signals=("a", "b"))
+_JS = f"WITH {_SCORED}, {_judged('scored', *STRICT.thresholds.values())}"
 
 
 @query(f"{_J} SELECT item, band, round(confidence, 9) AS confidence, method FROM judged")
@@ -135,9 +137,9 @@ def signal_wins(spark, sf_dir):
     return evaluation.wins(judged(spark, sf_dir))
 
 
-@query(f"{_J} SELECT item FROM judged WHERE label = 'positive' AND band = 'negative'")
+@query(f"{_JS} SELECT item FROM judged WHERE label = 'positive' AND band = 'negative'")
 def false_negatives(spark, sf_dir):
-    return evaluation.misses(judged(spark, sf_dir))
+    return evaluation.misses(evaluation.judged(scored(spark, sf_dir), STRICT))
 
 
 @query(f"{_J} SELECT item FROM judged WHERE label = 'negative' AND band = 'positive'")
@@ -145,11 +147,11 @@ def false_positives(spark, sf_dir):
     return evaluation.false_alarms(judged(spark, sf_dir))
 
 
-@query(f"""{_J} SELECT item, CASE WHEN a <= 0 AND b <= 0 THEN 'invisible to every signal' WHEN a >= b THEN printf('a reached %.2f, needs 0.40', a) ELSE printf('b reached %.2f, needs 0.55', b) END AS reason
+@query(f"""{_JS} SELECT item, CASE WHEN a <= 0 AND b <= 0 THEN 'invisible to every signal' WHEN a >= b THEN printf('a reached %.2f, needs 0.90', a) ELSE printf('b reached %.2f, needs 0.90', b) END AS reason
 FROM judged WHERE label = 'positive' AND band = 'negative'""")
 def miss_reasons(spark, sf_dir):
-    rows = judged(spark, sf_dir).filter("label = 'positive' and band = 'negative'")
-    return rows.select("item", evaluation.miss_reason(F.col("signals"), SETTINGS).alias("reason"))
+    rows = evaluation.judged(scored(spark, sf_dir), STRICT).filter("label = 'positive' and band = 'negative'")
+    return rows.select("item", evaluation.miss_reason(F.col("signals"), STRICT).alias("reason"))
 
 
 @query(f"{_J} SELECT method, count(*) AS n FROM judged GROUP BY method")
@@ -399,7 +401,7 @@ def cache_reuse(spark, sf_dir):
     return tables.reuse(found, cached).select("filename", "label", F.col("scores")["a"].alias("score"))
 
 
-@query("SELECT o_orderkey, CASE WHEN s // 3600 > 0 THEN printf('%dh %02dm', s // 3600, s // 60 % 60) WHEN s // 60 > 0 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT o_orderkey, o_orderkey % 20000 AS s FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN s // 3600 > 0 THEN printf('%dh %02dm %02ds', s // 3600, s // 60 % 60, s % 60) WHEN s // 60 > 0 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT o_orderkey, o_orderkey % 20000 AS s FROM orders)")
 def duration_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scores.duration(F.col("o_orderkey") % 20000).alias("took"))
 
@@ -421,14 +423,14 @@ def audit_candidates(spark, sf_dir):
     return _pool(spark, sf_dir).select("doc_id", F.round("confidence", 9).alias("confidence"))
 
 
-@query(f"{_POOL} SELECT doc_id, round(confidence, 9) AS confidence FROM pool ORDER BY pool.confidence DESC, doc_id::VARCHAR || '.png' LIMIT 20")
+@query(f"{_POOL} SELECT doc_id, round(confidence, 9) AS confidence FROM pool ORDER BY pool.confidence DESC, doc_id::VARCHAR || '.png' LIMIT 3")
 def near_miss_topk(spark, sf_dir):
-    return workflow.near_misses(_pool(spark, sf_dir), 20).select("doc_id", F.round("confidence", 9).alias("confidence"))
+    return workflow.near_misses(_pool(spark, sf_dir), 3).select("doc_id", F.round("confidence", 9).alias("confidence"))
 
 
 @query()
 def seeded_sample(spark, sf_dir):
-    return workflow.sample(_pool(spark, sf_dir), 20, 7).select("doc_id")
+    return workflow.sample(_pool(spark, sf_dir), 3, 7).select("doc_id")
 
 
 _WILSON = "p AS (SELECT {key}, {hits} AS hits, count(*) AS total FROM {table} GROUP BY ALL), w AS (SELECT *, hits::DOUBLE / total AS share, 1 + 1.96 * 1.96 / total AS d FROM p)"
@@ -452,10 +454,12 @@ def audit_recall(spark, sf_dir):
     return report.select("sample", "hits", F.round("miss_rate", 6).alias("miss_rate"), F.round("missed", 4).alias("missed"), F.round("recall", 6).alias("recall"))
 
 
-@query("SELECT sha256(d.text) AS target, count(DISTINCT l.quality) AS labels FROM documents d JOIN labels l USING (doc_id) GROUP BY 1 HAVING count(DISTINCT l.quality) > 1")
+@query("SELECT d.lang || '/' || (n_chars // 50)::VARCHAR AS target, count(DISTINCT l.quality) AS labels FROM documents d JOIN labels l USING (doc_id) GROUP BY 1 HAVING count(DISTINCT l.quality) > 1")
 def label_conflicts(spark, sf_dir):
-    rows = digested(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
-    return workflow.conflicts(rows.select(F.col("digest").alias("target"), F.col("quality").alias("label")))
+    """Documents of one language and about one length are taken as one target: some are labelled both ways."""
+    target = F.concat_ws("/", "lang", F.floor(F.col("n_chars") / 50).cast("string"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", target.alias("target")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return workflow.conflicts(rows.select("target", F.col("quality").alias("label")))
 
 
 @query("SELECT doc_id::VARCHAR AS target, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS label, l.quality AS existing FROM documents JOIN labels l USING (doc_id) WHERE (n_chars >= 1000) <> (l.quality = 1)")
@@ -483,8 +487,8 @@ def crop_to_original(spark, sf_dir):
 
 @query("""WITH f AS (SELECT page_id, '2020-' || lpad((page_id % 12 + 1)::VARCHAR, 2, '0') AS period, 'photo' || (page_id % 9)::VARCHAR AS stem, (page_id // 7) % 4 AS k, (ARRAY['jpg', 'png', 'webp', 'txt'])[(page_id // 3) % 4 + 1] AS ext, length(html) AS size FROM pages),
 g AS (SELECT *, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS kind, CASE k WHEN 2 THEN 150 * 150 WHEN 3 THEN 1024 * 768 ELSE 0 END AS area FROM f WHERE ext <> 'txt')
-SELECT period, stem, page_id AS best, CASE kind WHEN 0 THEN 'original' WHEN 1 THEN 'scaled' ELSE 'largest-size' END AS reason, count(*) OVER (PARTITION BY period, stem) - 1 AS variants_ignored
-FROM g QUALIFY row_number() OVER (PARTITION BY period, stem ORDER BY kind, area DESC, CASE ext WHEN 'png' THEN 0 WHEN 'jpg' THEN 1 ELSE 2 END, size DESC, lpad(page_id::VARCHAR, 12, '0')) = 1""")
+SELECT period, stem, page_id AS best, CASE kind WHEN 0 THEN 'original' WHEN 1 THEN 'scaled' ELSE 'largest-variant' END AS reason, count(*) OVER (PARTITION BY period, stem) - 1 AS variants_ignored
+FROM g QUALIFY row_number() OVER (PARTITION BY period, stem ORDER BY kind, area DESC, CASE ext WHEN 'webp' THEN 3 ELSE 0 END, size DESC, lpad(page_id::VARCHAR, 12, '0')) = 1""")
 def collect_best_variant(spark, sf_dir):
     """Pages under upload names: an original, a scaled one, or one of two sizes of a photo."""
     ext = F.element_at(F.array(*[F.lit(x) for x in ("jpg", "png", "webp", "txt")]), (F.floor(F.col("page_id") / 3) % 4 + 1).cast("int"))
@@ -494,8 +498,8 @@ def collect_best_variant(spark, sf_dir):
     return workflow.best_variants(files).select("period", "stem", F.col("path").cast("long").alias("best"), "reason", "variants_ignored")
 
 
-@query("""SELECT lang AS label, count(*) AS files, round(sum(n_chars) / 1048576.0, 3) AS total_mb, round(min(n_chars) / 1024.0, 3) AS min_kb,
- round(list_sort(list(n_chars))[count(*) // 2 + 1] / 1024.0, 3) AS median_kb, round(max(n_chars) / 1024.0, 3) AS max_kb FROM documents GROUP BY lang""")
+@query("""SELECT lang AS label, count(*) AS files, round(sum(n_chars) / 1e6::DOUBLE, 3) AS total_mb, round(min(n_chars) / 1e3::DOUBLE, 3) AS min_kb,
+ round(list_sort(list(n_chars))[count(*) // 2 + 1] / 1e3::DOUBLE, 3) AS median_kb, round(max(n_chars) / 1e3::DOUBLE, 3) AS max_kb, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 4) AS share FROM documents GROUP BY lang""")
 def class_size_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), F.col("n_chars").alias("size"))
     return workflow.class_sizes(rows)
@@ -529,7 +533,8 @@ def _frames(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_FRAME} SELECT page_id, 'full' AS source, 0 AS x, 0 AS y, w AS bw, h AS bh FROM f UNION ALL
-SELECT page_id, 'tile', (c * (w // 4))::INTEGER, (r * (h // 4))::INTEGER, (least(w, c * (w // 4) + w // 3) - c * (w // 4))::INTEGER, (least(h, r * (h // 4) + h // 3) - r * (h // 4))::INTEGER FROM f, range(4) a(c), range(4) b(r)""")
+SELECT page_id, 'tile', x::INTEGER, y::INTEGER, (least(w, x + tw) - x)::INTEGER, (least(h, y + th) - y)::INTEGER FROM (SELECT page_id, w, h,
+ round_even(c * (w / 4::DOUBLE), 0) AS x, round_even(r * (h / 4::DOUBLE), 0) AS y, round_even(w / 3::DOUBLE, 0) AS tw, round_even(h / 3::DOUBLE, 0) AS th FROM f, range(4) a(c), range(4) b(r)) WHERE least(w, x + tw) > x AND least(h, y + th) > y""")
 def tile_regions(spark, sf_dir):
     rows = _frames(spark, sf_dir).select("page_id", F.explode(boxes.tiles(F.col("w"), F.col("h"))).alias("t"))
     return rows.select("page_id", "t.source", "t.bbox.x", "t.bbox.y", F.col("t.bbox.w").alias("bw"), F.col("t.bbox.h").alias("bh"))
@@ -550,7 +555,8 @@ def iou_pairs(spark, sf_dir):
     return _boxes(spark, sf_dir).select("id", F.round(boxes.iou(F.col("a"), F.col("b")), 6).alias("iou"), *[u[c].alias(f"u{c}") for c in "xywh"])
 
 
-@query(f"""WITH {_BOXES}, p AS (SELECT id, greatest(0, round_even(x1 - .15 * w1, 0)) AS x0, greatest(0, round_even(y1 - .15 * h1, 0)) AS y0, least(100, round_even(x1 + w1 + .15 * w1, 0)) AS x1, least(80, round_even(y1 + h1 + .15 * h1, 0)) AS y1, w1 * h1 / 8000.0 AS area FROM b)
+@query(f"""WITH {_BOXES}, g AS (SELECT id, round_even(x1 - w1 * .15::DOUBLE, 0) AS gx, round_even(y1 - h1 * .15::DOUBLE, 0) AS gy, round_even(w1 + 2 * (w1 * .15::DOUBLE), 0) AS gw, round_even(h1 + 2 * (h1 * .15::DOUBLE), 0) AS gh, w1 * h1 / 8000.0 AS area FROM b),
+p AS (SELECT id, greatest(0, gx) AS x0, greatest(0, gy) AS y0, least(100, gx + gw) AS x1, least(80, gy + gh) AS y1, area FROM g)
 SELECT id, x0::INTEGER AS px, y0::INTEGER AS py, (x1 - x0)::INTEGER AS pw, (y1 - y0)::INTEGER AS ph, area BETWEEN .0004 AND .9 AS fair FROM p""")
 def box_pad_clip(spark, sf_dir):
     w, h = F.lit(100), F.lit(80)
@@ -572,7 +578,7 @@ def merge_regions(spark, sf_dir):
 def _stream(spark, sf_dir, judge) -> DataFrame:
     from triage.streaming import scan
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="triage-")
+    base = dedup.shared_folder(spark)
     folder = f"scan-{uuid.uuid4().hex}"
     journal, state = f"{base}/{folder}/journal", f"{base}/{folder}/state"
     schema = table(spark, sf_dir, "documents").schema

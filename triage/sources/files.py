@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from datetime import datetime
@@ -44,8 +45,8 @@ def images(spark: SparkSession, root: str, with_empty: bool = True) -> DataFrame
     if with_empty:
         found = found.unionByName(empty_files(spark, root))
     found = found.filter(is_image(F.col("path")))
-    prefix = F.concat(F.regexp_replace(F.lit(root), r"^\w+://", ""), F.lit("/"))
-    relative = F.element_at(F.split("path", prefix), -1)
+    prefix = re.sub(r"^\w+:/+", "/", root).rstrip("/") + "/"
+    relative = F.substr("path", F.instr("path", prefix) + F.lit(len(prefix)))
     return found.select("path", relative.alias("relative"), "length", "modificationTime", "content")
 
 
@@ -151,6 +152,49 @@ def downscale(pixels: np.ndarray, most: int = config.MAX_SIDE) -> np.ndarray:
     return np.rint(area_resize(pixels, max(1, round(h * k)), max(1, round(w * k)))).astype(np.uint8)
 
 
+def pixels_of(data: bytes) -> np.ndarray | None:
+    """Pixels of a file by the first decoder that reads it, None where none does."""
+    try:
+        return next((p for p in (f(bytes(data)) for f in DECODERS) if p is not None), None)
+    except Exception:  # noqa: BLE001 any damage is a reason, not a failure
+        return None
+
+
+#: Formats that Spark's image source reads on the JVM.
+ON_JVM = ("jpg", "jpeg", "tif", "tiff")
+
+
+def decoded(spark: SparkSession, root: str, pictures: DataFrame, most: int = config.MAX_SIDE) -> DataFrame:
+    """pictures (file, path, content) as path, sha256 and d, the struct of `decode`: some formats by Spark's image source, others here.
+
+    The image source gives pixels without the file's bytes, so its rows meet
+    the bytes' digests by file, once their pixels are brought to size.
+    """
+    jvm = F.lower("file").rlike(r"\.(" + "|".join(ON_JVM) + ")$")
+    digest = F.sha2("content", 256).alias("sha256")
+    here = pictures.filter(~jvm).select("path", digest, decode(F.col("content"), most).alias("d"))
+
+    @F.pandas_udf(DECODED)
+    def brought(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, w, n, raw in zip(height, width, channels, data, strict=True):
+            if h <= 0 or w <= 0:
+                out.append((None, None, None, None, "decode failed (corrupt or unsupported format)"))
+                continue
+            bgr = np.frombuffer(raw, np.uint8).reshape(h, w, n)
+            small = downscale(rgb(np.dstack([bgr[:, :, 2::-1], bgr[:, :, 3:]]) if n > 2 else bgr), most)
+            out.append((small.shape[0], small.shape[1], small[:, :, ::-1].tobytes(), small.shape[0] / h, None))
+        return pd.DataFrame(out, columns=["height", "width", "data", "scale", "error"]).astype({"height": "Int32", "width": "Int32"})
+
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in ON_JVM) + "}"
+    read = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    one_slash = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    there = read.select(one_slash(F.col("image.origin")).alias("__origin"), brought("image.height", "image.width", "image.nChannels", "image.data").alias("d"))
+    named = pictures.filter(jvm).select("path", digest, one_slash(F.col("file")).alias("__file"), F.col("length").alias("__length"))
+    empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("height", "int"), ("width", "int"), ("data", "binary"), ("scale", "double"))], F.when(F.col("__length") == 0, "empty file").otherwise("decode failed (corrupt or unsupported format)").alias("error"))
+    return here.unionByName(named.join(there, F.col("__file") == F.col("__origin"), "left").select("path", "sha256", F.coalesce("d", empty).alias("d")))
+
+
 def decode(content: Column, most: int = config.MAX_SIDE) -> Column:
     """struct of DECODED: BGR pixels brought to size and their scale, or a reason; a bad file never fails a job."""
 
@@ -161,14 +205,7 @@ def decode(content: Column, most: int = config.MAX_SIDE) -> Column:
             if not data:
                 out.append((None, None, None, None, "empty file"))
                 continue
-            pixels = None
-            try:
-                for f in DECODERS:
-                    pixels = f(bytes(data))
-                    if pixels is not None:
-                        break
-            except Exception:  # noqa: BLE001 any damage is a reason, not a failure
-                pixels = None
+            pixels = pixels_of(data)
             if pixels is None or pixels.size == 0:
                 out.append((None, None, None, None, "decode failed (corrupt or unsupported format)"))
                 continue

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,14 +52,19 @@ def journal_lines(lines: DataFrame, value: str = "value", seq: str = "seq") -> D
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """The journal of JSON line files; lines stand in the order of their files and places."""
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("seq"))
+    """The journal of JSON line files; lines stand in the order of their files' times, their batches and their places."""
+    batch = F.coalesce(F.get_json_object("value", "$.batch").cast("long"), F.lit(0))
+    seq = F.struct(F.col("_metadata.file_modification_time").alias("t"), batch.alias("n"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select("value", seq.alias("seq"))
     return journal_lines(lines)
 
 
 def append_journal(entries: DataFrame, path: str) -> None:
-    """Entries as JSON lines, confidence to four digits; files become visible together when the job commits."""
-    entries.withColumn("confidence", F.round("confidence", 4)).write.mode("append").json(path)
+    """Entries as JSON lines, confidence to four digits; files become visible together when the job commits.
+
+    Each carries its batch, the time of the append, for files that are written in one tick of the store's clock.
+    """
+    entries.withColumn("confidence", F.round("confidence", 4)).withColumn("batch", F.lit(time.time_ns())).write.mode("append").json(path)
 
 
 def entry_rows(journal: DataFrame) -> DataFrame:
@@ -81,7 +86,9 @@ def pending(files: DataFrame, journal: DataFrame, retry_errors: bool = False, ke
 
 def read_cache(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
     """Scored items of a cache file, none if its format or signals differ or it is no JSON; rows that lack a score are skipped."""
-    raw = spark.read.schema(CACHE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(CACHE).json(path)
+    if not raw.filter("format is not null").limit(1).count():  # one document over many lines
+        raw = spark.read.schema(CACHE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     fits = raw.filter((F.col("format") == CACHE_FORMAT) & (F.col("signals") == F.array(*[F.lit(s) for s in signals])))
     rows = fits.select(F.inline("images"))
     for s in signals:
@@ -90,11 +97,10 @@ def read_cache(spark: SparkSession, path: str, signals: list[str]) -> DataFrame:
 
 
 def write_cache(rows: DataFrame, path: str, signals: list[str]) -> None:
-    """Scored items (filename, label, scores) as one document, by filename, scores to six digits."""
+    """Scored items (filename, label, scores) by filename, scores to six digits; each is a line, a cache of one image."""
     rounded = rows.select("filename", "label", F.transform_values("scores", lambda _, v: F.round(v, 6)).alias("scores"))
-    images = [r.asDict(recursive=True) for r in rounded.orderBy("filename").toLocalIterator()]
-    text = json.dumps({"format": CACHE_FORMAT, "signals": signals, "images": images}, indent=2)
-    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    line = F.struct(F.lit(CACHE_FORMAT).alias("format"), F.array(*[F.lit(s) for s in signals]).alias("signals"), F.array(F.struct("filename", "label", "scores")).alias("images"))
+    rounded.orderBy("filename").select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def reuse(found: DataFrame, cached: DataFrame) -> DataFrame:
