@@ -147,7 +147,7 @@ def false_positives(spark, sf_dir):
     return evaluation.false_alarms(judged(spark, sf_dir))
 
 
-@query(f"""{_JS} SELECT item, CASE WHEN a <= 0 AND b <= 0 THEN 'invisible to every signal' WHEN a >= b THEN printf('a reached %.2f, needs 0.90', a) ELSE printf('b reached %.2f, needs 0.90', b) END AS reason
+@query(f"""{_JS} SELECT item, CASE WHEN a <= 0 AND b <= 0 THEN 'invisible to every signal' WHEN a >= b THEN printf('a reached %.2f, needs 0.90', round(a, 2)) ELSE printf('b reached %.2f, needs 0.90', round(b, 2)) END AS reason
 FROM judged WHERE label = 'positive' AND band = 'negative'""")
 def miss_reasons(spark, sf_dir):
     rows = evaluation.judged(scored(spark, sf_dir), STRICT).filter("label = 'positive' and band = 'negative'")
