@@ -91,3 +91,24 @@ def test_first_by_digest(spark):
     files = spark.createDataFrame([("b", "x", 2), ("a", "x", 3), ("c", "y", 1), ("d", None, 1)], "path string, sha string, period int")
     got = {r.path: r.note for r in dedup.first_by_digest(files, "sha", "period").collect()}
     assert got == {"b": "", "a": "duplicate-of:b", "c": "", "d": ""}
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 4, 9, 14])
+def test_near_pairs_are_all_pairs_within_the_budget(spark, budget):
+    rng = random.Random(budget)
+    hashes = {rng.getrandbits(64) - 2**63 for _ in range(20)}
+    for h in list(hashes):
+        for n in (budget - 1, budget, budget + 1, budget + 1):
+            hashes.add(h ^ (sum(1 << b for b in rng.sample(range(63), max(0, n))) if n < 63 else 0))
+    df = spark.createDataFrame([(i, h) for i, h in enumerate([*hashes, *list(hashes)[:3]])], "item long, h long")
+    got = [(r.h1, r.h2, r.distance) for r in dedup.near_pairs(df, "item", "h", budget).collect()]
+    apart = {(a, b): ((a ^ b) & (2**64 - 1)).bit_count() for a in hashes for b in hashes if a < b}
+    assert sorted(got) == sorted((a, b, d) for (a, b), d in apart.items() if d <= budget)
+
+
+def test_unrelated_hashes_seldom_meet(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.getrandbits(64) - 2**63, rng.getrandbits(64) - 2**63) for _ in range(4000)], "a long, b long")
+    # With pieces of 4 bits, of which one has to be equal, 0.6 of them meet.
+    left, right = hashing.meeting_keys(F.col("a"), 14)[0], hashing.meeting_keys(F.col("b"), 14)[1]
+    assert df.filter(F.arrays_overlap(left, right)).count() < 0.1 * 4000
