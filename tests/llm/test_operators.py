@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -304,6 +305,44 @@ def test_lines_without_blanks(spark):
     assert {i: r.n_kept for i, r in got.items()} == {i: int(i < len(UNSPACED)) for i, _ in rows}
 
 
+def test_lines_just_below_the_threshold_are_ruled_out_by_sketches(spark):
+    rng = random.Random(9)
+    base = [prose(30, 70 + i).split(" ") for i in range(6)]
+    lines = []
+    for i in range(120):
+        w = list(base[i % 6])
+        for k in rng.sample(range(len(w)), rng.choice((2, 3, 4))):
+            w[k] = w[k][::-1] + "x"
+        lines.append(" ".join(w))
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "l1 long, line string")
+    pairs = texts.select(F.col("l1").alias("a")).crossJoin(texts.select(F.col("l1").alias("b"))).filter("a < b")
+    got = {(r.a, r.b) for r in linededup.plausible(pairs, linededup.sketched(texts), 0.8).collect()}
+    true = {(j, i) for i, j in similar_lines(lines)}
+    assert true <= got and len(got - true) <= 30
+    assert len(true) >= 10
+
+
+def left_behind(spark, work):
+    from triage.llm import common
+
+    before = set(common._scratch)
+    work()
+    return sorted(p.rpartition("/")[2].rpartition("-")[0] for p in common._scratch - before)
+
+
+def test_lines_leave_only_their_verdicts_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "bands", lambda line: F.array(*[F.lit(b).cast("long") for b in range(linededup.BANDS)]))
+    rows = [(i, prose(25, 40 + i % 5).replace("owls", f"owl{i}")) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert left_behind(spark, lambda: linededup.counts(df).collect()) == ["line-verdicts"]
+
+
+def test_quality_stage_leaves_no_texts_on_disk(spark):
+    rows = [(i, prose(40, i), "en", "s", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert left_behind(spark, lambda: quality.keep_good(df, tuple(df.columns)).collect()) == ["quality-fences"]
+
+
 def test_lines_of_mixed_buckets(spark, monkeypatch):
     # One bucket holds every line: families that are not similar to its smallest nor its largest line, and lines alone.
     monkeypatch.setattr(linededup, "bands", lambda line: F.array(*[F.lit(b).cast("long") for b in range(linededup.BANDS)]))

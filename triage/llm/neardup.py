@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = unresolved(members.select("key", F.col("rep").alias("name")), groups, 3)
     if left.limit(1).count():
         ready = stored(left.join(sketches.select("doc_id", "n_shingles", "odd", "parity"), F.col("name") == F.col("doc_id")).drop("doc_id"), "ranked")
-        groups = resolve(ready, groups, links, tested, likely(percent), lambda new: confirmed(new, sketches, sets, percent))
+        groups = resolve(ready, groups, tested, likely(percent), lambda new: confirmed(new, sketches, sets, percent))
     drop(spark, sets)
     # Classes that are not their own component's smallest id or that have more than one document; all others are their own.
     whole = reps.join(groups, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", "n", F.coalesce("component", "rep").alias("comp"), "rep")
