@@ -343,6 +343,18 @@ def test_quality_stage_leaves_no_texts_on_disk(spark):
     assert left_behind(spark, lambda: quality.keep_good(df, tuple(df.columns)).collect()) == ["quality-fences"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_arrays_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id long, text string")
+    # Spark puts a filter on the array's size, which makes the array, below a plain explode.
+    texts = spark.createDataFrame([(1, "a line of text")], "l1 long, line string")
+    for df in (linededup.occurrences(docs), linededup.sketched(texts)):
+        assert "size(array_distinct" not in plan_of(df).partition("Filter")[2].split("\n")[0]
+
+
 def test_lines_of_mixed_buckets(spark, monkeypatch):
     # One bucket holds every line: families that are not similar to its smallest nor its largest line, and lines alone.
     monkeypatch.setattr(linededup, "bands", lambda line: F.array(*[F.lit(b).cast("long") for b in range(linededup.BANDS)]))
