@@ -112,3 +112,22 @@ def test_unrelated_hashes_seldom_meet(spark):
     # With pieces of 4 bits, of which one has to be equal, 0.6 of them meet.
     left, right = hashing.meeting_keys(F.col("a"), 14)[0], hashing.meeting_keys(F.col("b"), 14)[1]
     assert df.filter(F.arrays_overlap(left, right)).count() < 0.1 * 4000
+
+
+def test_hamming_pairs_are_those_of_its_sql_on_odd_vectors(spark, tmp_path):
+    """Falling and flat vectors (a hash of no bits), single, empty and null ones, and vectors with a null component."""
+    import duckdb
+
+    from triage.plans import catalogue
+
+    flat, rng = [1.0] * 64, random.Random(9)
+    vectors = [flat, flat, [float(i) for i in range(64)], [float(-i % 5) for i in range(64)], [0.5], [], None, [None] * 64, [1.0, None, *flat[2:]]]
+    vectors += [[rng.random() if i < n else 2.0 + i for i in range(64)] for n in (3, 12, 20, 30, 40)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("vector_dhash", "hamming_pairs"):
+        want = con.execute(catalogue.oracle_sql()[name]).fetchall()
+        got = [tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), name
+    assert any(0 in pair[:2] for pair in want)
