@@ -367,6 +367,18 @@ def test_lines_of_mixed_buckets(spark, monkeypatch):
     assert {i: r.n_kept for i, r in got.items()} == {i: int(i % 10 == 0) for i, _ in rows}
 
 
+def test_line_query_counts_the_lines_of_the_texts_made(spark, monkeypatch, tmp_path):
+    rows = [(1, "one line here\nshared line of text\n\nshared line of text"), (2, "shared line of text"), (3, None), (4, ""), (5, " \n\t"), (6, "another line, alone\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counted = lambda: {r.doc_id: (r.n_lines, r.n_kept, r.n_removed) for r in linededup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    want = {1: (3, 2, 1), 2: (1, 0, 1), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (1, 1, 0)}
+    assert counted() == want
+    made = linededup.dedup_lines
+    # A line that the operator would leave in a text is counted: the query has no other way to its figures.
+    monkeypatch.setattr(linededup, "dedup_lines", lambda *a: made(*a).withColumn("text", F.when(F.col("doc_id") == 2, "left in").otherwise(F.col("text"))))
+    assert counted() == want | {2: (1, 1, 0)}
+
+
 # -- 4 ----------------------------------------------------------------------
 
 ODD = [None, "", " \n", "Hello  World\n\n  x", "a b c\u0085d", "<|endoftext|>", "x<|endoftext|> y  <|endoftext|>  z", "don't I'LL we've ’s\t\t", "é ́a \n̸=", "foo \n bar", "日本語 テキスト ១២ ½²", "a" * 3000, "a,b;c! 1.5, x:y?z", "ΑΣ Σίσυφος", "İstanbul ǅ ﬁ ß"]
