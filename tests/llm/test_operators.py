@@ -637,6 +637,45 @@ def test_bpe(spark, docs, none):
     assert bpe.encode(none, path).count() == 0
 
 
+def joined_block(texts, digest):
+    """The rows of one block, made and joined in this process, and the most bytes of Python and NumPy that the join held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    path = public.path("word_bpe_49k.json")
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "place": [0] * len(texts)})
+    words = [b for part in bpe._split(3, 1 << 30, False)(iter([rows])) for b in bpe._encode(path)(iter([part]))]
+    table = pa.Table.from_batches([*words, *bpe._split(3, 1 << 30, True)(iter([rows]))])
+    join = bpe._join(path, digest, False)
+    bpe.pieces(path)
+    tracemalloc.start()
+    try:
+        return join(table).to_pylist(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_bpe_join_holds_no_object_for_each_word():
+    texts = [" ".join(f"w{k}x{i * 7919}" for i in range(2000)) for k in range(40)]
+    _, most = joined_block(texts, True)
+    assert most < 30 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("tokens", [1, 7, 1 << 18])
+def test_bpe_join_in_slices(monkeypatch, tokens):
+    monkeypatch.setattr(bpe, "TOKENS", tokens, raising=False)
+    texts = [None, "", "one two", *[prose(k, k) for k in range(1, 12)], "", ODD[6], " "]
+    t = bpe.tokenizer(public.path("word_bpe_49k.json"))
+    ids = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    got, _ = joined_block(texts, False)
+    assert [(r["doc_id"], r["n_tokens"], r["ids"], r["decoded"]) for r in got] == [(i, len(x), x, t.decode(x, skip_special_tokens=False)) for i, x in enumerate(ids)]
+    got, _ = joined_block(texts, True)
+    assert [r["ids_sha256"] for r in got] == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+    got, _ = joined_block(["", None], True)
+    assert [(r["n_tokens"], r["decoded_sha256"]) for r in got] == [(0, hashlib.sha256(b"").hexdigest())] * 2
+
+
 # -- 10 ---------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

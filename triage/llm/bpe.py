@@ -28,11 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections import Counter, defaultdict
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +45,11 @@ from triage.llm.common import release
 #: Bytes of text of a block.
 BLOCK = 1 << 24
 #: Most words whose ids a task remembers; it forgets all beyond that, and encodes them again.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
+#: The library's encodings, objects of about 1 KB each, are held of so many words at once.
+BATCH = 1 << 12
+#: About so many tokens of a block are spelt out at once.
+TOKENS = 1 << 18
 _ROW = "part int, block string, kind int, payload binary"
 _FIELDS = pa.schema([("part", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("payload", pa.binary())])
 _loaded: dict = {}
@@ -169,11 +176,13 @@ def _encode(path: str):
                 if len(known) > REMEMBERED:
                     known.clear()
                 new = [w for w in words if w not in known]
-                for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[w] = tuple(e.ids)
+                for i in range(0, len(new), BATCH):
+                    some = new[i : i + BATCH]
+                    for w, e in zip(some, t.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
+                        known[w] = array("I", e.ids).tobytes()
                 ids = [known[w] for w in words]
-                n = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append((part, block, kind, _pack(n, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum())))))
+                n = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.uint32(4)
+                out.append((part, block, kind, _pack(n, np.frombuffer(b"".join(ids), np.uint32))))
             if out:
                 yield _rows(out)
         del known
@@ -182,6 +191,22 @@ def _encode(path: str):
     return run
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """flat[f : f + n] of each first place and length, one after the other."""
+    ends = np.cumsum(lengths)
+    at = np.repeat(first - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def _sha256(texts: pa.Array) -> list[str]:
+    """The digests of a large_string array, none of which is copied."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset).tolist()
+    held = memoryview(data if data is not None else b"")
+    return [hashlib.sha256(held[i:j]).hexdigest() for i, j in pairwise(at)]
+
+
 def _join(path: str, digest: bool, placed: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -191,8 +216,9 @@ def _join(path: str, digest: bool, placed: bool):
             raise RuntimeError("a block came apart: its codes are missing")
         known, ids, places, counts, part, codes = _unpack(table.column("payload")[kinds.index(1)].as_py())
         ids = ids.view(np.int64)
-        lengths, place = np.zeros(len(part), np.int64), [()] * len(part)
-        done = np.zeros(len(part), bool)
+        # A word's ids are lengths[code] of `flat`, from first[code] on.
+        lengths, first = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        done, flats, held = np.zeros(len(part), bool), [np.zeros(0, np.uint32)], 0
         for i, kind in enumerate(kinds):
             if kind == 0:
                 p = table.column("part")[i].as_py()
@@ -203,42 +229,46 @@ def _join(path: str, digest: bool, placed: bool):
                 at = np.flatnonzero(part == p)
                 if len(at) != len(n):
                     raise RuntimeError("a block came apart: its words differ between runs")
-                done[at], lengths[at] = True, n
-                ends, flat = np.cumsum(n), flat.tolist()
-                for k, e, m in zip(at.tolist(), ends.tolist(), n.tolist(), strict=True):
-                    place[k] = flat[e - m : e]
+                done[at], lengths[at], first[at] = True, n, held + np.cumsum(n, dtype=np.int64) - n
+                flats.append(flat)
+                held += len(flat)
         if not done.all() or any(n != times for n in seen.values()):
             raise RuntimeError("a block came apart: words are missing")
-        # Decoding joins the block's distinct ids to the id-to-piece table, and each word's ids to its pieces.
-        used = pa.table({"id": pa.array(sorted({i for x in place for i in x}), pa.int64())})
-        piece = dict(zip(*used.join(pa.table({"id": pa.array(range(len(pieces(path))), pa.int64()), "piece": pieces(path)}), "id").to_pydict().values(), strict=True))
-        number = {i: str(i) for i in piece}
-        numbers = [" ".join([number[i] for i in x]) for x in place]
-        texts = [" ".join([piece[i] for i in x]) for x in place]
-        begin = np.concatenate(([0], np.cumsum(counts.astype(np.int64))))
-        tokens = np.concatenate(([0], np.cumsum(lengths[codes])))
-        out_ids = pa.array(ids, pa.int64(), mask=known == 0)
-        n_tokens = pa.array((tokens[begin[1:]] - tokens[begin[:-1]]).astype(np.int64))
-        some = lengths > 0
-        first, second = [], []
-        for i in range(len(ids)):
-            c = codes[begin[i] : begin[i + 1]]
-            c = c[some[c]].tolist()
-            decoded = " ".join([texts[k] for k in c])
+        # Decoding joins the block's distinct ids to the id-to-piece table; a token is the place of its id there.
+        flat = np.concatenate(flats)
+        used = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        used[flat] = True
+        flat, used = (np.cumsum(used, dtype=np.int32) - 1)[flat], pa.table({"id": pa.array(np.flatnonzero(used))})
+        used = used.join(pa.table({"id": pa.array(range(len(pieces(path))), pa.int64()), "piece": pa.array(pieces(path), pa.large_string())}), "id", use_threads=False).sort_by("id").combine_chunks()
+        number, piece = used.column("id").combine_chunks(), used.column("piece").combine_chunks()
+        begin = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        tokens = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(lengths[codes], out=tokens[1:])
+        tokens = tokens[begin]
+        out_ids, n_tokens = pa.array(ids, pa.int64(), mask=known == 0), pa.array(np.diff(tokens))
+        blank, one, two, i = pa.scalar(" ", pa.large_string()), [], [], 0
+        while i < len(ids):
+            # Documents of TOKENS tokens at a time (a longer one alone), so that only these are spelt out.
+            j = max(i + 1, int(np.searchsorted(tokens, tokens[i] + TOKENS, "right")) - 1)
+            c = codes[begin[i] : begin[j]]
+            which = pa.array(_gather(flat, first[c], lengths[c]))
+            spelt = lambda words: pa.LargeListArray.from_arrays(pa.array(tokens[i : j + 1] - tokens[i]), words.take(which))  # noqa: B023, E731
+            decoded = pc.binary_join(spelt(piece), blank)
             if digest:
-                first.append(hashlib.sha256(" ".join([numbers[k] for k in c]).encode()).hexdigest())
-                second.append(hashlib.sha256(decoded.encode()).hexdigest())
+                one += _sha256(pc.binary_join(spelt(number.cast(pa.large_string())), blank))
+                two += _sha256(decoded)
             else:
-                first.append([x for k in c for x in place[k]])
-                second.append(decoded)
-        del place, numbers, texts
-        release()
+                one.append(spelt(number.cast(pa.int32())).cast(pa.list_(pa.int32())))
+                two.append(decoded.cast(pa.string()))
+            i = j
         if digest:
-            out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
+            out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids_sha256": pa.array(one, pa.string()), "decoded_sha256": pa.array(two, pa.string())})
         else:
-            out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.string())})
+            out = pa.table({"doc_id": out_ids, "n_tokens": n_tokens, "ids": pa.chunked_array(one, pa.list_(pa.int32())), "decoded": pa.chunked_array(two, pa.string())})
         if placed:
             out = out.append_column("position", pa.array(places.view(np.int64)))
+        del flats, flat, lengths, first, codes
+        release()
         return pa.concat_tables([out] * times)
 
     return run
