@@ -296,6 +296,14 @@ def full_similar(lines, width=5):
     return {(lines[i], lines[j]) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
+def test_line_shingles_by_plain_expression(spark):
+    lines = ["  lead", "trail   ", " a ", "a", "x" * 30 + " yy  ", "x" * 9 + " " + "y" * 10, "日本語 テキスト ១២ ½²" + "𝒳" * 12, "a\r b\x0b\x0c c\r\td", "a\u0085b c d\xa0e \u2003 f\x1cg\u3000", "$1 \\1 $"]
+    word, blank = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    plain = re.compile(rf"(?s)(?=(.{{1,9}}))(?:{word}{{1,9}}+(?!{word})|{word}){blank}*+")
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", linededup.shingles(F.col("line")).alias("s")).collect()
+    assert {r.line: r.s for r in got} == {x: plain.findall(x) for x in lines}
+
+
 def test_lines_without_blanks(spark):
     assert not full_similar(UNSPACED)
     copies = [UNSPACED[2].replace("one", "two"), "X" + UNSPACED[6]]  # changed inside, and at the start
