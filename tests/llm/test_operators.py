@@ -330,6 +330,40 @@ def test_lines_just_below_the_threshold_are_ruled_out_by_sketches(spark):
     assert len(true) >= 10
 
 
+def test_line_sketches_are_those_of_the_sets_and_hand_on_their_sizes(spark):
+    lines = ["a", "abcd", "abcde", "ab" * 40, "x" * 300, "日本語 テキスト ១២ ½²" + "𝒳" * 12, *[prose(n, n) for n in (1, 3, 7, 30, 200)]]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, *[x + "!" for x in lines]])], "l1 long, line string")
+    sets = {r.l1: set(r.h) for r in texts.select("l1", linededup.grams(F.col("line")).alias("h")).collect()}
+    for r in linededup.sketched(texts).collect():
+        words = [0] * linededup.PARITY
+        for h in sets[r.l1]:
+            words[h % linededup.PARITY] ^= 1 << ((h >> 58) & 63)
+        assert r.size == len(sets[r.l1]) and [r[f"p{w}"] % (1 << 64) for w in range(linededup.PARITY)] == words
+    pairs = texts.select(F.col("l1").alias("a")).crossJoin(texts.select(F.col("l1").alias("b"))).filter("a < b")
+    tested = linededup.plausible(pairs, linededup.sketched(texts), 0.8)
+    assert all((r.m, r.n) == (len(sets[r.a]), len(sets[r.b])) for r in tested.collect())
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    for some in (tested, pairs):  # with the sizes, and without
+        assert {(r.a, r.b) for r in linededup.similar(some, texts).collect()} == want
+    assert len(want) >= 5
+
+
+def test_line_bitmap_lets_all_wanted_through(spark):
+    wanted = [0, -1, 63, 64, 1023, 1024, linededup.BITMAP - 1, -(1 << 63), (1 << 63) - 1, 12345]
+    rows = spark.createDataFrame([(x,) for x in [*wanted, *range(2000, 12000)]], "x long")
+    got = [r.x for r in linededup.among(rows, spark.createDataFrame([(x,) for x in wanted], "x long"), "x").collect()]
+    assert sorted(got) == sorted(wanted)  # 12345 isn't of the range; no other shares a bit
+
+
+def test_line_texts_are_split_once(spark):
+    rows = [(1, "a b\n\x0b\f\n\u0085\n\x1c\n\xa0\n\t x\na b\n \r"), (2, None), (None, "a b\nq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.x for r in docs.select(linededup.worded().alias("x")).collect()] == [["a b", "\u0085", "\x1c", "\xa0", "\t x", "a b"], [], ["a b", "q"]]
+    left = linededup.dedup_lines(docs, ("doc_id", "text", "n_lines"))
+    assert plan_of(left).count("split(") == 1
+    assert {r.doc_id: (r.text, r.n_lines) for r in left.collect()} == {1: ("a b\n\u0085\n\x1c\n\xa0\n\t x", 6), 2: (None, 0), None: ("q", 2)}
+
+
 def left_behind(spark, work):
     from triage.llm import common
 
