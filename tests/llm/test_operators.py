@@ -704,6 +704,56 @@ def test_bpe_join_holds_no_object_for_each_word():
     assert most < 30 * sum(map(len, texts))
 
 
+def test_bpe_codes_are_packed_plane_by_plane():
+    import tracemalloc
+
+    import numpy as np
+
+    codes = np.arange(1 << 20, dtype=np.uint32) * np.uint32(4001)
+    tracemalloc.start()
+    try:
+        blob = bpe._pack(codes, codes[:0], codes[:3])
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x.tolist() for x in bpe._unpack(blob)] == [codes.tolist(), [], codes[:3].tolist()]
+    assert held < 2.6 * codes.nbytes, held / codes.nbytes  # the frame itself is most of it, twice while it is put together
+
+
+def test_bpe_split_holds_one_batch():
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    held = []
+
+    def batches():
+        for k in range(4):
+            gc.collect()
+            assert not any(x() is not None for x in held)
+            b = pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"some words {k}"], "place": [k]})
+            held.append(weakref.ref(b))
+            yield b
+            del b
+
+    for coded in (False, True):
+        assert sum(b.num_rows for b in bpe._split(3, 1 << 30, coded)(batches())) > 0
+        held.clear()
+
+
+def test_bpe_sends_python_small_batches(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        for own, want in ((None, "4m"), ("1m", "1m")):
+            spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+            bpe.encode(docs, public.path("word_bpe_49k.json"))
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("tokens", [1, 7, 1 << 18])
 def test_bpe_join_in_slices(monkeypatch, tokens):
     monkeypatch.setattr(bpe, "TOKENS", tokens, raising=False)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triage.llm.common import release
+from triage.llm.common import release, small_batches
 
 #: Bytes of text of a block.
 BLOCK = 1 << 24
@@ -76,19 +76,31 @@ def pieces(path: str) -> list[str]:
         table = [""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             table[i] = piece
+        del vocab
+        forget()
         _loaded[key] = table
     return _loaded[key]
 
 
+def forget() -> None:
+    """Let a worker's tokenizers and tables go, some 40 MB each: the next step has no use for them."""
+    _loaded.clear()
+    release()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned numbers as byte planes, low bytes first, in one zstandard frame."""
+    arrays = [np.ascontiguousarray(a, np.uint32) for a in arrays]
+    widths = [4 if not len(a) else max(1, (int(a.max()).bit_length() + 7) // 8) for a in arrays]
+    # The frame takes plane after plane, so that only one is held beside the arrays.
+    frame = zstandard.ZstdCompressor(level=3).compressobj(size=sum(9 + len(a) * w for a, w in zip(arrays, widths, strict=True)))
     out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a, np.uint32)
+    for a, width in zip(arrays, widths, strict=True):
+        out.append(frame.compress(len(a).to_bytes(8, "little") + bytes([width])))
         planes = a.view(np.uint8).reshape(-1, 4)
-        width = 4 if not len(a) else max(1, (int(a.max()).bit_length() + 7) // 8)
-        out.append(len(a).to_bytes(8, "little") + bytes([width]) + b"".join(planes[:, k].tobytes() for k in range(width)))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+        out += [frame.compress(planes[:, k].tobytes()) for k in range(width)]
+    out.append(frame.flush())
+    return b"".join(out)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -107,7 +119,7 @@ class _Block:
     """Documents of a block as codes of its words, which are numbered as they come."""
 
     def __init__(self, coded: bool):
-        self.coded, self.ids, self.places, self.counts, self.codes, self.size = coded, [], [], [], [], 0
+        self.coded, self.ids, self.places, self.counts, self.codes, self.size = coded, [], [], [], array("I"), 0
         self.words: defaultdict = defaultdict()
         self.words.default_factory = self.words.__len__
         self.digest = hashlib.blake2b(digest_size=16)
@@ -118,21 +130,23 @@ class _Block:
         self.places.append(place)
         if self.coded:
             self.counts.append(len(found))
-            self.codes.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
+            self.codes.extend(map(self.words.__getitem__, found))
         else:
             self.words.update(dict.fromkeys(found))
         self.size += len(text)
-        self.digest.update(f"{doc_id} {place} {len(text)} ".encode() + text)
+        self.digest.update(f"{doc_id} {place} {len(text)} ".encode())
+        self.digest.update(text)
 
     def rows(self, parts: int):
         """The row of codes, or a row of words for each hash partition."""
         name, words = self.digest.hexdigest(), list(self.words)
+        self.words.clear()
         part = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(parts)
         if self.coded:
             known = np.array([x is not None for x in self.ids], np.uint32)
             ids = np.array([x or 0 for x in self.ids], np.int64).view(np.uint32)
             places = np.array(self.places, np.int64).view(np.uint32)
-            yield 0, name, 1, _pack(known, ids, places, np.array(self.counts, np.uint32), part, np.concatenate([*self.codes, np.zeros(0, np.uint32)]))
+            yield 0, name, 1, _pack(known, ids, places, np.array(self.counts, np.uint32), part, np.frombuffer(self.codes, np.uint32))
             return
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -150,14 +164,18 @@ def _rows(rows) -> pa.RecordBatch:
 
 def _split(parts: int, limit: int, coded: bool):
     def run(batches):
+        forget()
         block = _Block(coded)
         for batch in batches:
             for doc_id, text, place in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 block.add(doc_id, text.as_py() or b"", place)
                 if block.size >= limit:
                     if rows := list(block.rows(parts)):
+                        block = None
                         yield _rows(rows)
-                    block = _Block(coded)
+                    block, rows = _Block(coded), None
+            # It goes before the next one comes.
+            batch = text = None
         if block.ids and (rows := list(block.rows(parts))):
             yield _rows(rows)
         del block
@@ -242,9 +260,13 @@ def _join(path: str, digest: bool, placed: bool):
         used = used.join(pa.table({"id": pa.array(range(len(pieces(path))), pa.int64()), "piece": pa.array(pieces(path), pa.large_string())}), "id", use_threads=False).sort_by("id").combine_chunks()
         number, piece = used.column("id").combine_chunks(), used.column("piece").combine_chunks()
         begin = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        tokens = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(lengths[codes], out=tokens[1:])
-        tokens = tokens[begin]
+        tokens, i = np.zeros(len(ids) + 1, np.int64), 0
+        while i < len(ids):
+            # As below, documents of TOKENS words at a time.
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + TOKENS, "right")) - 1)
+            sums = np.concatenate(([0], np.cumsum(lengths[codes[begin[i] : begin[j]]])))
+            tokens[i + 1 : j + 1] = tokens[i] + sums[begin[i + 1 : j + 1] - begin[i]]
+            i = j
         out_ids, n_tokens = pa.array(ids, pa.int64(), mask=known == 0), pa.array(np.diff(tokens))
         blank, one, two, i = pa.scalar(" ", pa.large_string()), [], [], 0
         while i < len(ids):
@@ -279,6 +301,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False, block_bytes: int =
 
     docs is read twice and has to come the same both times, as stored files do.
     """
+    small_batches(docs.sparkSession)
     parts = min(65_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.lit(0) if position is None else position
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.cast("long").alias("place"))
